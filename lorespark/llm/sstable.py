@@ -7,9 +7,9 @@ text writer can write it to any store it knows and its commit protocol survives
 
 * data block: entries in ascending key order, ``varint(shared) varint(rest) key-suffix varint(value length)
   value``; ``shared`` counts bytes shared with the key before (0 every ``RESTART`` entries). Then the restart
-  offsets as <u4, their number as <u4, and a crc32 of all before as <u4.
+  offsets as <u4 and their number as <u4. All that as one zstd frame, then a crc32 of the frame as <u4.
 * key: 8 bytes, big-endian document number with the sign bit flipped, so byte order is numeric order.
-* value: n ids, each <u4; the last is the end id.
+* value: one byte, 2 or 4, then n ids, each <u2 or <u4, whichever holds them; the last is the end id.
 * index: for each block ``<QII`` (offset, length, entries) and its first and last key.
 * Bloom filter: ``<II`` (hashes k, bits m), then the bits; positions by double hashing of xxh3-128.
 * footer (fixed ``FOOTER`` bytes): ``<QIQIQQQQ`` index offset and length, filter offset and length, entries,
@@ -26,6 +26,7 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -47,6 +48,15 @@ def unpack_key(k: bytes) -> int:
     return struct.unpack(">Q", k)[0] - (1 << 63)
 
 
+def pack_ids(ids: np.ndarray) -> bytes:
+    width = 2 if not ids.size or int(ids.max()) < 1 << 16 else 4
+    return bytes([width]) + ids.astype(f"<u{width}").tobytes()
+
+
+def unpack_ids(value: bytes | memoryview) -> np.ndarray:
+    return np.frombuffer(value[1:], f"<u{value[0]}").astype("<u4")
+
+
 def _varint(n: int) -> bytes:
     out = bytearray()
     while n > 127:
@@ -78,6 +88,7 @@ class ShardWriter:
 
     def __init__(self, block_bytes: int = BLOCK_BYTES) -> None:
         self.limit, self.at, self.index, self.keys, self.tokens = block_bytes, 0, [], [], 0
+        self.pack = zstandard.ZstdCompressor(level=1)
         self._fresh()
 
     def _fresh(self) -> None:
@@ -85,6 +96,7 @@ class ShardWriter:
 
     def _close(self) -> bytes:
         body = bytes(self.buf) + np.array(self.restarts, "<u4").tobytes() + struct.pack("<I", len(self.restarts))
+        body = self.pack.compress(body)
         body += struct.pack("<I", zlib.crc32(body))
         self.index.append(struct.pack("<QII", self.at, len(body), self.n) + self.first + self.last)
         self.at += len(body) + 1
@@ -101,7 +113,7 @@ class ShardWriter:
         self.buf += _varint(shared) + _varint(len(key) - shared) + key[shared:] + _varint(len(value)) + value
         self.first, self.last, self.n = self.first or key, key, self.n + 1
         self.keys.append(key)
-        self.tokens += len(value) // 4
+        self.tokens += (len(value) - 1) // value[0] if value else 0
         return self._close() if len(self.buf) >= self.limit else None
 
     def end(self) -> Iterator[bytes]:
@@ -147,9 +159,10 @@ class Shard:
         b = self.data[at : at + size]
         if zlib.crc32(b[:-4]) != struct.unpack("<I", b[-4:])[0]:
             raise ValueError(f"block {i} is damaged")
-        n = struct.unpack("<I", b[-8:-4])[0]
-        end = size - 8 - 4 * n
-        return b, np.frombuffer(b[end:-8], "<u4"), end
+        b = memoryview(zstandard.ZstdDecompressor().decompress(b[:-4]))
+        n = struct.unpack("<I", b[-4:])[0]
+        end = len(b) - 4 - 4 * n
+        return b, np.frombuffer(b[end:-4], "<u4"), end
 
     @staticmethod
     def _walk(b: memoryview, at: int, end: int) -> Iterator[tuple[bytes, memoryview]]:
@@ -188,7 +201,7 @@ class Shard:
                 lo, hi = (mid, hi) if first < key else (lo, mid - 1)
             for k, v in self._walk(b, int(restarts[lo]), end):
                 if k == key:
-                    return np.frombuffer(v, "<u4")
+                    return unpack_ids(v)
                 if k > key:
                     return None
         return None
@@ -212,7 +225,7 @@ def write_tokens(docs: DataFrame, out_dir: str, path: str | None = None, id_col:
             for n, t in zip(b.column(0).to_pylist(), b.column(1), strict=True):
                 some = True
                 ids = np.concatenate([enc.encode(t.as_py() or b""), tail])
-                if (block := w.add(pack_key(n), ids.astype("<u4").tobytes())) is not None:
+                if (block := w.add(pack_key(n), pack_ids(ids))) is not None:
                     done.append(block)
             if done:
                 yield pa.RecordBatch.from_arrays([pa.array(done, pa.binary())], names=["segment"])
@@ -238,8 +251,9 @@ def read_tokens(spark, out_dir: str) -> DataFrame:
                 keys, sizes, sums = [], [], []
                 for k, v in Shard(raw.as_buffer()).scan() if raw.is_valid else ():
                     keys.append(unpack_key(k))
-                    sizes.append(len(v) // 4)
-                    sums.append(zlib.crc32(v))
+                    ids = unpack_ids(v)
+                    sizes.append(ids.size)
+                    sums.append(zlib.crc32(ids.tobytes()))
                 n = np.array(sizes, np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(n.size, keys[0] if keys else 0)), pa.array(keys, pa.int64()), pa.array(np.cumsum(n) - n), pa.array(n), pa.array(sums, pa.int64())], names=["shard", "uid", "before", "n_tokens", "ids_crc32"])
 

@@ -1,8 +1,10 @@
-"""Operator 5: token counts by the whole-token shortcut, and the chunk encoder that operator 3 shares."""
+"""Operator 5: token counts by the whole-token shortcut, and the encoder that operator 3 shares."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import json
+import re
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -13,9 +15,12 @@ from pyspark.sql import functions as F
 
 from lorespark.llm.common import small_batches
 
-#: Chunks whose result a worker remembers; the memory is emptied when full, results don't depend on it.
-MEMO = 200_000
+#: Chunks, and pre-tokens beside the proven ones, whose ids a worker remembers; forgotten when full, results don't
+#: depend on it.
+MEMO = 400_000
 LIMIT = 2048
+#: Texts without any of these have a plain normal form: lower case of each character, nothing to compose.
+_BEYOND = re.compile("[^\\t\\n\\x0b\\x0c\\r\\x20-\\x7e\\xa1-\\xac\\xae-\\u024f]")
 
 
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
@@ -25,12 +30,13 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
-class ChunkEncoder:
-    """Encode text with a tokenizer file whose pre-tokenizer drops white space.
+class Encoder:
+    """Encode text with a BPE tokenizer file whose pre-tokenizer drops white space, pre-token by pre-token.
 
-    Such a tokenizer treats the chunks between ASCII white space apart from each other: its normalizer maps
-    white space to a blank, its pre-tokenizer splits there, and no added token holds or strips any. ``separable``
-    checks these conditions in the file; where they don't hold, whole texts go to the library.
+    Such a tokenizer treats pre-tokens apart from each other, and the chunks between ASCII white space too: its
+    normalizer maps white space to a blank, its pre-tokenizer splits there, and no added token holds or strips any.
+    ``separable`` checks these conditions in the file; where they don't hold, whole texts go to the library.
+    Chunks with special strings, or with characters whose normal form isn't plain, go to the library as they are.
     """
 
     def __init__(self, path: str) -> None:
@@ -39,15 +45,17 @@ class ChunkEncoder:
         self.lib = Tokenizer.from_file(path)
         self.lib.no_truncation()
         self.lib.no_padding()
-        self.ids: dict[bytes, np.ndarray] = {}
-        self.counts: dict[bytes, int] = {}
         self.separable, self.split, self.end = self._read(path)
-        self.proven = self._prove() if self.separable else frozenset()
+        self.proven: dict[str, int] = self._prove() if self.separable else {}
+        vocab = self.lib.get_vocab(with_added_tokens=True)
+        self.last = np.zeros(max(vocab.values()) + 1, bool)  # ids that end a pre-token
+        self.last[[i for s, i in vocab.items() if self.end and s.endswith(self.end)]] = True
+        self.ids: dict[str, bytes] = {}
+        self.chunks: dict[bytes, bytes] = {}
+        self.counts: dict[bytes, int] = {}
 
     @staticmethod
     def _read(path: str) -> tuple[bool, regex.Pattern | None, str]:
-        import json
-
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         pre = spec.get("pre_tokenizer") or {}
@@ -55,63 +63,87 @@ class ChunkEncoder:
         rule = steps[0].get("pattern", {}).get("Regex") if steps and steps[0].get("type") == "Split" else None
         norm = spec.get("normalizer") or {}
         kinds = [x.get("type") for x in norm.get("normalizers", [norm])]
+        end = spec["model"].get("end_of_word_suffix") or ""
         ok = bool(rule) and steps[0].get("behavior") == "Removed" and steps[0].get("invert") and [s.get("type") for s in steps[1:]] == ["ByteLevel"] and not steps[1].get("add_prefix_space") and not steps[1].get("use_regex", True)
-        ok = ok and kinds == ["NFC", "Replace", "Lowercase"] and spec["model"].get("type") == "BPE" and not spec["model"].get("dropout")
-        ok = ok and not any(t["lstrip"] or t["rstrip"] or t["single_word"] or any(c.isspace() for c in t["content"]) for t in spec["added_tokens"])
+        ok = ok and kinds == ["NFC", "Replace", "Lowercase"] and spec["model"].get("type") == "BPE" and not spec["model"].get("dropout") and bool(end)
+        ok = ok and all(t["content"].startswith("<|") and not (t["lstrip"] or t["rstrip"] or t["single_word"] or any(c.isspace() for c in t["content"])) for t in spec["added_tokens"])
         ok = ok and not any(regex.search(rule, c) for c in " \t\n\r\x0b\x0c")
-        return bool(ok), regex.compile(rule) if ok else None, (spec["model"].get("end_of_word_suffix") or "") if ok else ""
+        # each byte alone must be a token that ends a word, so that a pre-token's last token always does
+        ok = ok and sum(len(s) == 1 + len(end) and s.endswith(end) for s in spec["model"]["vocab"]) >= 256
+        return bool(ok), regex.compile(rule) if ok else None, end
 
-    def _prove(self) -> frozenset[str]:
+    def _prove(self) -> dict[str, int]:
         """Vocabulary strings that, as a pre-token of their own, encode as exactly one token: tried one by one."""
-        added = {t.content for t in self.lib.get_added_tokens_decoder().values()}
         own = [s.removesuffix(self.end) for s in self.lib.get_vocab(with_added_tokens=False) if s.endswith(self.end)]
         # byte-level letters stand for bytes: only strings that are their own byte-level form are looked at
-        own = [s for s in dict.fromkeys(own) if s and s.isascii() and s == s.lower() and s not in added and self.split.fullmatch(s)]
-        return frozenset(s for s, e in zip(own, self.lib.encode_batch(own, add_special_tokens=False), strict=True) if len(e.ids) == 1)
-
-    def chunk_ids(self, chunk: bytes) -> np.ndarray:
-        got = self.ids.get(chunk)
-        if got is None:
-            got = np.array(self.lib.encode(chunk.decode("utf-8"), add_special_tokens=False).ids, np.uint32)
-            if len(self.ids) >= MEMO:
-                self.ids.clear()
-            self.ids[chunk] = got
-        return got
+        own = [s for s in dict.fromkeys(own) if s and s.isascii() and s == s.lower() and self.split.fullmatch(s)]
+        return {s: e.ids[0] for s, e in zip(own, self.lib.encode_batch_fast(own, add_special_tokens=False), strict=True) if len(e.ids) == 1}
+
+    def pieces(self, chunk: bytes) -> list[str]:
+        """Pre-tokens of a chunk; one that only the library can take stands whole, after a line feed."""
+        s = chunk.decode()
+        return ["\n" + s] if _BEYOND.search(s) or "<|" in s else self.split.findall(s.lower())
+
+    def _merge(self, new: list[str]) -> dict[str, bytes]:
+        """Ids of unseen pre-tokens, each <u4: encoded in one call, cut after each id that ends a pre-token."""
+        rare = [p for p in new if p[0] == "\n"]
+        plain = [p for p in new if p[0] != "\n"] if rare else new
+        out = {}
+        if rare:
+            out.update((p, np.array(e.ids, "<u4").tobytes()) for p, e in zip(rare, self.lib.encode_batch_fast([p[1:] for p in rare], add_special_tokens=False), strict=True))
+        if plain:
+            flat = np.array(self.lib.encode_batch_fast([" ".join(plain)], add_special_tokens=False)[0].ids, "<u4")
+            ends = (4 * (np.flatnonzero(self.last[flat]) + 1)).tolist()
+            if len(ends) != len(plain) or ends[-1] != 4 * len(flat):
+                raise ValueError("pre-tokens and their ids don't agree")
+            raw, at = flat.tobytes(), 0
+            for p, e in zip(plain, ends, strict=True):
+                out[p] = raw[at:e]
+                at = e
+        return out
+
+    def _learn(self, chunks: list[bytes]) -> list[bytes]:
+        """Ids of each of these chunks, from what is known of their pre-tokens and one call for the rest."""
+        memo = self.ids
+        if not memo:
+            memo.update((p, np.uint32(i).tobytes()) for p, i in self.proven.items())
+        pre = [self.pieces(c) for c in chunks]
+        new = self._merge(list({p for x in pre for p in x if p not in memo}))
+        if len(memo) + len(new) > MEMO + len(self.proven):
+            new = {p: memo.get(p) or new[p] for x in pre for p in x}
+            memo.clear()
+        memo.update(new)
+        return [memo[x[0]] if len(x) == 1 else b"".join([memo[p] for p in x]) for x in pre]
+
+    def _look_up(self, text: bytes, memo: dict, value: Callable[[bytes], object]) -> list:
+        """What memo holds for each chunk of a text, after learning the unseen ones."""
+        chunks = text.split()
+        got = list(map(memo.get, chunks))
+        if None not in got:
+            return got
+        fresh = list({c for c, v in zip(chunks, got, strict=True) if v is None})
+        new = dict(zip(fresh, map(value, self._learn(fresh)), strict=True))
+        if len(memo) + len(new) > MEMO:
+            memo.clear()
+        memo.update(new)
+        return [new[c] if v is None else v for c, v in zip(chunks, got, strict=True)]
 
     def encode(self, text: bytes) -> np.ndarray:
         if not self.separable:
-            return np.array(self.lib.encode(text.decode("utf-8"), add_special_tokens=False).ids, np.uint32)
-        parts = [self.chunk_ids(c) for c in text.split()]
-        return np.concatenate(parts) if parts else np.empty(0, np.uint32)
-
-    def _chunk_count(self, chunk: bytes) -> int:
-        s = chunk.decode("utf-8")
-        if s.isascii() and "<|" not in s:
-            pre = self.split.findall(s.lower())
-            rest = [p for p in pre if p not in self.proven]
-            n = len(pre) - len(rest) + sum(len(self.lib.encode(p, add_special_tokens=False).ids) for p in rest)
-        else:  # other scripts' normal forms and special strings are the library's
-            n = len(self.lib.encode(s, add_special_tokens=False).ids)
-        if len(self.counts) >= MEMO:
-            self.counts.clear()
-        self.counts[chunk] = n
-        return n
+            return np.array(self.lib.encode(text.decode(), add_special_tokens=False).ids, np.uint32)
+        return np.frombuffer(b"".join(self._look_up(text, self.chunks, lambda v: v)), "<u4")
 
     def count(self, text: bytes) -> int:
         """Tokens of a text: proven pre-tokens count one each, only the others are merged."""
         if not self.separable:
-            return len(self.lib.encode(text.decode("utf-8"), add_special_tokens=False).ids)
-        get, slow, n = self.counts.get, self._chunk_count, 0
-        for c in text.split():
-            k = get(c)
-            n += slow(c) if k is None else k
-        return n
+            return len(self.lib.encode(text.decode(), add_special_tokens=False).ids)
+        return sum(self._look_up(text, self.counts, lambda v: len(v) // 4))
 
 
 @lru_cache(maxsize=2)
-def encoder(path: str) -> ChunkEncoder:
+def encoder(path: str) -> Encoder:
     """One encoder for each worker process and file."""
-    return ChunkEncoder(path)
+    return Encoder(path)
 
 
 def token_counts(docs: DataFrame, path: str | None = None, limit: int = LIMIT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -202,10 +202,10 @@ def test_repeated_and_null_ids(spark):
 def test_shard_lookup(block):
     r = random.Random(4)
     keys = sorted({r.randint(-(10**12), 10**12) for _ in range(500)})
-    pairs = [(sstable.pack_key(k), b"".join(r.getrandbits(32).to_bytes(4, "little") for _ in range(r.randint(0, 9)))) for k in keys]
+    pairs = [(sstable.pack_key(k), sstable.pack_ids(sstable.np.array([r.getrandbits(r.choice([9, 32])) for _ in range(r.randint(0, 9))], "u4"))) for k in keys]
     shard = sstable.Shard(b"".join(x + b"\n" for x in sstable.write_shard(pairs, block)))
     assert [(k, bytes(v)) for k, v in shard.scan()] == pairs and shard.entries == len(pairs)
-    assert all(shard.get(k).tobytes() == v for k, v in pairs)
+    assert all(sstable.pack_ids(shard.get(k)) == v for k, v in pairs)
     missing = [sstable.pack_key(k + 1) for k in keys if k + 1 not in keys]
     assert all(shard.get(k) is None for k in missing) and sum(map(shard.maybe, missing)) < 0.05 * len(missing)
     torn = b"".join(x + b"\n" for x in sstable.write_shard(pairs, block))[:-3]
@@ -530,3 +530,11 @@ def test_passages_edges(spark):
     assert [g for g in got if g[0] == 9] == [(9, 0)] and len(got) == 5 and got[0] == (-1, 0)
     assert passages.remove_repeats(spark.createDataFrame([], "doc_id long, text string")).count() == 0
     assert hashlib.sha256(b"").hexdigest()[:4] == "e3b0"
+
+
+def test_memo_may_be_small(monkeypatch, docs):
+    monkeypatch.setattr(tokens, "MEMO", 5)
+    enc = tokens.Encoder(tokens.tokenizer_path())
+    for t in [*texts(docs).values(), "ΑΣ ας Å e\u0301 \u212b ﬁ ǅ İstanbul naïve<|endoftext|>x \xad a\x1fb ªº ½ ²", "it's 'sort o'clock''s \"'ll"]:
+        want = enc.lib.encode(t or "", add_special_tokens=False).ids
+        assert enc.encode((t or "").encode()).tolist() == want and enc.count((t or "").encode()) == len(want)
