@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import os
 import re
 from collections.abc import Callable, Iterator
 from functools import lru_cache
@@ -17,7 +18,7 @@ from lorespark.llm.common import small_batches
 
 #: Chunks, and pre-tokens beside the proven ones, whose ids a worker remembers; forgotten when full, results don't
 #: depend on it.
-MEMO = 400_000
+MEMO = 300_000
 LIMIT = 2048
 #: Texts without any of these have a plain normal form: lower case of each character, nothing to compose.
 _BEYOND = re.compile("[^\\t\\n\\x0b\\x0c\\r\\x20-\\x7e\\xa1-\\xac\\xae-\\u024f]")
@@ -40,6 +41,8 @@ class Encoder:
     """
 
     def __init__(self, path: str) -> None:
+        # one call at a time: the library's thread pool would only take cores from other tasks
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.lib = Tokenizer.from_file(path)
