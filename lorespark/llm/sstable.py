@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lorespark.llm.common import Scratch, small_batches, with_uid
-from lorespark.llm.tokens import encoder, tokenizer_path
+from lorespark.llm.tokens import encoder, gathered, tokenizer_path
 
 END_ID, RESTART, BLOCK_BYTES, MAGIC = 2, 16, 1 << 16, b"LSSST\x00\x00\x01"
 _FOOT = struct.Struct("<QIQIQQQQ")
@@ -220,11 +220,12 @@ def write_tokens(docs: DataFrame, out_dir: str, path: str | None = None, id_col:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, w, some = encoder(path), ShardWriter(), False
         tail = np.array([end_id], np.uint32)
-        for b in batches:
+        for b in gathered(batches, 1):
             done = []
-            for n, t in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+            flat, starts = enc.encode(b.column(1))
+            for i, n in enumerate(b.column(0).to_pylist()):
                 some = True
-                ids = np.concatenate([enc.encode(t.as_py() or b""), tail])
+                ids = np.concatenate([flat[starts[i] : starts[i + 1]], tail])
                 if (block := w.add(pack_key(n), pack_ids(ids))) is not None:
                     done.append(block)
             if done:
@@ -237,7 +238,7 @@ def write_tokens(docs: DataFrame, out_dir: str, path: str | None = None, id_col:
     spark = docs.sparkSession
     n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // shard_bytes))
     rows = docs if "uid" in docs.columns else with_uid(docs, id_col, text_col, unique=False)
-    dealt = rows.select("uid", F.col(text_col).cast("binary").alias("t")).repartitionByRange(n, "uid").sortWithinPartitions("uid", "t")
+    dealt = rows.select("uid", F.col(text_col).cast("string").alias("t")).repartitionByRange(n, "uid").sortWithinPartitions("uid", "t")
     dealt.mapInArrow(run, "segment binary").select(F.col("segment").cast("string").alias("value")).write.option("compression", "none").text(out_dir)
 
 

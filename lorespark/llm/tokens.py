@@ -5,19 +5,21 @@ from __future__ import annotations
 import json
 import os
 import re
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from functools import lru_cache
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lorespark.llm.common import small_batches
 
-#: Chunks, and pre-tokens beside the proven ones, whose ids a worker remembers; forgotten when full, results don't
-#: depend on it.
+#: Chunks, and pre-tokens beside the proven ones, whose ids a worker remembers: the first that it meets. Results
+#: don't depend on it.
 MEMO = 300_000
 LIMIT = 2048
 #: Texts without any of these have a plain normal form: lower case of each character, nothing to compose.
@@ -54,8 +56,8 @@ class Encoder:
         self.last = np.zeros(max(vocab.values()) + 1, bool)  # ids that end a pre-token
         self.last[[i for s, i in vocab.items() if self.end and s.endswith(self.end)]] = True
         self.ids: dict[str, bytes] = {}
-        self.chunks: dict[bytes, bytes] = {}
-        self.counts: dict[bytes, int] = {}
+        self.chunks: dict[str, bytes] = {}
+        self.split_lines = regex.compile(f"{self.split.pattern}|\n") if self.separable else None
 
     @staticmethod
     def _read(path: str) -> tuple[bool, regex.Pattern | None, str]:
@@ -82,15 +84,10 @@ class Encoder:
         own = [s for s in dict.fromkeys(own) if s and s.isascii() and s == s.lower() and self.split.fullmatch(s)]
         return {s: e.ids[0] for s, e in zip(own, self.lib.encode_batch_fast(own, add_special_tokens=False), strict=True) if len(e.ids) == 1}
 
-    def pieces(self, chunk: bytes) -> list[str]:
-        """Pre-tokens of a chunk; one that only the library can take stands whole, after a line feed."""
-        s = chunk.decode()
-        return ["\n" + s] if _BEYOND.search(s) or "<|" in s else self.split.findall(s.lower())
-
     def _merge(self, new: list[str]) -> dict[str, bytes]:
         """Ids of unseen pre-tokens, each <u4: encoded in one call, cut after each id that ends a pre-token."""
-        rare = [p for p in new if p[0] == "\n"]
-        plain = [p for p in new if p[0] != "\n"] if rare else new
+        rare = [p for p in new if p[0] == "\t"]
+        plain = [p for p in new if p[0] != "\t"] if rare else new
         out = {}
         if rare:
             out.update((p, np.array(e.ids, "<u4").tobytes()) for p, e in zip(rare, self.lib.encode_batch_fast([p[1:] for p in rare], add_special_tokens=False), strict=True))
@@ -105,42 +102,97 @@ class Encoder:
                 at = e
         return out
 
-    def _learn(self, chunks: list[bytes]) -> list[bytes]:
-        """Ids of each of these chunks, from what is known of their pre-tokens and one call for the rest."""
+    def _learn(self, chunks: list[str]) -> tuple[bytes, np.ndarray]:
+        """Ids of each of these chunks, end to end and their sizes in bytes: what is known of their pre-tokens and one
+        call for the rest. A chunk that only the library can take stands as one pre-token, after a tab."""
         memo = self.ids
         if not memo:
             memo.update((p, np.uint32(i).tobytes()) for p, i in self.proven.items())
-        pre = [self.pieces(c) for c in chunks]
-        new = self._merge(list({p for x in pre for p in x if p not in memo}))
-        if len(memo) + len(new) > MEMO + len(self.proven):
-            new = {p: memo.get(p) or new[p] for x in pre for p in x}
-            memo.clear()
-        memo.update(new)
-        return [memo[x[0]] if len(x) == 1 else b"".join([memo[p] for p in x]) for x in pre]
-
-    def _look_up(self, text: bytes, memo: dict, value: Callable[[bytes], object]) -> list:
-        """What memo holds for each chunk of a text, after learning the unseen ones."""
-        chunks = text.split()
+        text = "\n".join(chunks)
+        if _BEYOND.search(text) or "<|" in text:
+            odd = [bool(_BEYOND.search(c)) or "<|" in c for c in chunks]
+            pre: list[str] = []
+            for c, x in zip(chunks, odd, strict=True):
+                pre += ["\t" + c] if x else self.split.findall(c.lower())
+                pre.append("\n")
+        else:
+            pre = [*self.split_lines.findall(text.lower()), "\n"]
+        got = list(map(memo.get, pre))
+        new = self._merge(list({p for p, v in zip(pre, got, strict=True) if v is None} - {"\n"}))
+        new["\n"] = b""
+        got = [new[p] if v is None else v for p, v in zip(pre, got, strict=True)]
+        del new["\n"]
+        self._keep(memo, new, MEMO + len(self.proven))
+        upto = np.cumsum(np.fromiter(map(len, got), np.int64, len(got)))
+        ends = upto[np.fromiter((p == "\n" for p in pre), bool, len(pre))]
+        return b"".join(got), np.diff(ends, prepend=0)
+
+    @staticmethod
+    def _keep(memo: dict, new: dict, most: int) -> None:
+        """Fill the memory; what is common is met early, so what is there stays."""
+        memo.update(islice(new.items(), max(0, most - len(memo))))
+
+    def _known(self, chunks: list[str], memo: dict[str, bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of these distinct chunks: all end to end, where each chunk's begin, and how many they are."""
         got = list(map(memo.get, chunks))
-        if None not in got:
-            return got
-        fresh = list({c for c, v in zip(chunks, got, strict=True) if v is None})
-        new = dict(zip(fresh, map(value, self._learn(fresh)), strict=True))
-        if len(memo) + len(new) > MEMO:
-            memo.clear()
-        memo.update(new)
-        return [new[c] if v is None else v for c, v in zip(chunks, got, strict=True)]
-
-    def encode(self, text: bytes) -> np.ndarray:
-        if not self.separable:
-            return np.array(self.lib.encode(text.decode(), add_special_tokens=False).ids, np.uint32)
-        return np.frombuffer(b"".join(self._look_up(text, self.chunks, lambda v: v)), "<u4")
+        unseen = np.fromiter((v is None for v in got), bool, len(got))
+        fresh = [c for c, v in zip(chunks, got, strict=True) if v is None]
+        old = b"".join([v for v in got if v is not None])
+        size = np.zeros(len(got), np.int64)
+        size[~unseen] = np.fromiter((len(v) for v in got if v is not None), np.int64, len(got) - len(fresh))
+        first = np.zeros(len(got), np.int64)
+        first[~unseen] = np.cumsum(size[~unseen]) - size[~unseen]
+        raw = b""
+        if fresh:
+            raw, sizes = self._learn(fresh)
+            size[unseen] = sizes
+            at = np.cumsum(sizes) - sizes
+            first[unseen] = at + len(old)
+            room = max(0, MEMO - len(memo))
+            memo.update((c, raw[i : i + n]) for c, i, n in zip(fresh[:room], at[:room].tolist(), sizes[:room].tolist(), strict=True))
+        return np.frombuffer(old + raw, "<u4"), first // 4, size // 4
 
-    def count(self, text: bytes) -> int:
-        """Tokens of a text: proven pre-tokens count one each, only the others are merged."""
+    @staticmethod
+    def _chunks(texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
+        """Distinct chunks of some texts, for each chunk its number, and where each text's chunks start (one more: the end)."""
+        lists = pc.ascii_split_whitespace(pc.fill_null(texts.cast(pa.large_string()), ""))
+        coded = lists.flatten().dictionary_encode()
+        starts = lists.offsets.to_numpy()
+        return coded.dictionary.to_pylist(), coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), starts - starts[0]
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of these texts end to end (<u4), and where each text's ids start (one more: the end)."""
         if not self.separable:
-            return len(self.lib.encode(text.decode(), add_special_tokens=False).ids)
-        return sum(self._look_up(text, self.counts, lambda v: len(v) // 4))
+            each = [np.array(self.lib.encode(t or "", add_special_tokens=False).ids, "<u4") for t in texts.to_pylist()]
+            return np.concatenate([np.empty(0, "<u4"), *each]), np.cumsum([0, *map(len, each)])
+        words, at, starts = self._chunks(texts)
+        flat, first, size = self._known(words, self.chunks)
+        n = size[at]
+        ends = np.cumsum(n)
+        ids = flat[np.repeat(first[at] - ends + n, n) + np.arange(ends[-1] if n.size else 0)]
+        return ids, np.concatenate([[0], ends])[starts]
+
+    def count(self, texts: pa.Array) -> np.ndarray:
+        """Tokens of each text: proven pre-tokens count one each, only the others are merged."""
+        if not self.separable:
+            return np.array([len(self.lib.encode(t or "", add_special_tokens=False).ids) for t in texts.to_pylist()], np.int64)
+        words, at, starts = self._chunks(texts)
+        _, _, size = self._known(words, self.chunks)
+        return np.diff(np.concatenate([[0], np.cumsum(size[at])])[starts])
+
+
+def gathered(batches: Iterator[pa.RecordBatch], column: int, most: int = 1 << 23) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of at least ``most`` bytes in a column, but for the last: fewer chunks to look up."""
+    held: list[pa.RecordBatch] = []
+    size = 0
+    for b in batches:
+        held.append(b)
+        size += b.column(column).nbytes
+        if size >= most:
+            yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+            held, size = [], 0
+    if held:
+        yield from pa.Table.from_batches(held).combine_chunks().to_batches()
 
 
 @lru_cache(maxsize=2)
@@ -159,11 +211,9 @@ def token_counts(docs: DataFrame, path: str | None = None, limit: int = LIMIT, i
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(path)
-        for b in batches:
-            size, n = np.zeros(b.num_rows, np.int64), np.zeros(b.num_rows, np.int64)
-            for i, t in enumerate(b.column(1)):
-                if t := t.as_py():
-                    size[i], n[i] = len(t), enc.count(t)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(size), pa.array(n), pa.array(n > limit)], names=[id_col, "n_bytes", "n_tokens", "over_limit"])
-
-    return docs.select(id_col, F.col(text_col).cast("binary").alias("t")).mapInArrow(run, f"`{id_col}` {docs.schema[id_col].dataType.simpleString()}, n_bytes long, n_tokens long, over_limit boolean")
+        for b in gathered(batches, 1):
+            n = enc.count(b.column(1))
+            size = pc.fill_null(pc.binary_length(b.column(1)), 0).cast(pa.int64())
+            yield pa.RecordBatch.from_arrays([b.column(0), size, pa.array(n), pa.array(n > limit)], names=[id_col, "n_bytes", "n_tokens", "over_limit"])
+
+    return docs.select(id_col, F.col(text_col).cast("string").alias("t")).mapInArrow(run, f"`{id_col}` {docs.schema[id_col].dataType.simpleString()}, n_bytes long, n_tokens long, over_limit boolean")

@@ -533,8 +533,14 @@ def test_passages_edges(spark):
 
 
 def test_memo_may_be_small(monkeypatch, docs):
+    import pyarrow as pa
+
     monkeypatch.setattr(tokens, "MEMO", 5)
     enc = tokens.Encoder(tokens.tokenizer_path())
-    for t in [*texts(docs).values(), "ΑΣ ας Å e\u0301 \u212b ﬁ ǅ İstanbul naïve<|endoftext|>x \xad a\x1fb ªº ½ ²", "it's 'sort o'clock''s \"'ll"]:
-        want = enc.lib.encode(t or "", add_special_tokens=False).ids
-        assert enc.encode((t or "").encode()).tolist() == want and enc.count((t or "").encode()) == len(want)
+    some = [*texts(docs).values(), "ΑΣ ας Å e\u0301 \u212b ﬁ ǅ İstanbul naïve<|endoftext|>x \xad a\x1fb ªº ½ ²", "it's 'sort o'clock''s \"'ll", None, ""]
+    want = [enc.lib.encode(t or "", add_special_tokens=False).ids for t in some]
+    for part in (slice(None), slice(3, 9), slice(0, 0)):
+        column = pa.array(some, pa.string())[part]
+        flat, starts = enc.encode(column)
+        assert [flat[a:b].tolist() for a, b in zip(starts[:-1], starts[1:], strict=True)] == want[part]
+        assert enc.count(column).tolist() == [len(x) for x in want[part]]
