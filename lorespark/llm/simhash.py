@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 from lorespark.llm.common import Scratch, connected_components, small_batches
 
 SHINGLE, RADIUS, SEED = 3, 2, 42
+#: Ids (8 bytes each) that deduplicate() broadcasts at most.
+SENT_IDS = 2_000_000
 _CHUNK = 1 << 16
 
 
@@ -110,13 +112,20 @@ def hex16(fp: str = "fp"):
 
 
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Keep the document with the smallest id of each group, all columns; of rows that share that id, one."""
+    """Keep the document with the smallest id of each group, all columns; of rows that share that id, one.
+
+    The ids that go are sent to the documents while there are at most ``SENT_IDS`` of them, so whole texts aren't
+    shuffled; beyond that, or where ids are null or repeated, documents meet the ids that stay in a shuffled join.
+    """
     scratch = Scratch(docs.sparkSession, "dedup")
     found = scratch.save(near_duplicates(docs, id_col, text_col), "groups")
-    stay = found.where(F.col(id_col).eqNullSafe(F.col("component_id")))
-    n, distinct, nulls = stay.agg(F.count(F.lit(1)), F.count_distinct(id_col), F.count_if(F.col(id_col).isNull())).first()
-    ids = scratch.save(stay.select(F.col(id_col).alias("_stays")).distinct(), "stay")
-    if n == distinct:
+    stays = F.col(id_col).eqNullSafe(F.col("component_id"))
+    n, known, distinct, gone = found.agg(F.count(F.lit(1)), F.count(id_col), F.count_distinct(id_col), F.count_if(~stays)).first()
+    if n == known == distinct:
+        if gone <= SENT_IDS:
+            ids = scratch.save(found.where(~stays).select(F.col(id_col).alias("_goes")), "gone")
+            return docs.join(F.broadcast(ids), docs[id_col] == ids["_goes"], "left_anti")
+        ids = scratch.save(found.where(stays).select(F.col(id_col).alias("_stays")), "stay")
         return docs.join(ids, docs[id_col] == ids["_stays"], "left_semi")
-    alone = docs.join(ids, docs[id_col].eqNullSafe(ids["_stays"]) if nulls else docs[id_col] == ids["_stays"], "left_semi")
-    return alone.dropDuplicates([id_col])
+    ids = scratch.save(found.where(stays).select(F.col(id_col).alias("_stays")).distinct(), "stay")
+    return docs.join(ids, docs[id_col].eqNullSafe(ids["_stays"]), "left_semi").dropDuplicates([id_col])

@@ -544,3 +544,9 @@ def test_memo_may_be_small(monkeypatch, docs):
         flat, starts = enc.encode(column)
         assert [flat[a:b].tolist() for a, b in zip(starts[:-1], starts[1:], strict=True)] == want[part]
         assert enc.count(column).tolist() == [len(x) for x in want[part]]
+
+
+def test_dedup_beyond_the_broadcast(spark, docs, monkeypatch):
+    want = sorted(r.doc_id for r in simhash.deduplicate(docs).collect())
+    monkeypatch.setattr(simhash, "SENT_IDS", 0)
+    assert sorted(r.doc_id for r in simhash.deduplicate(docs).collect()) == want and len(want) < docs.count()
