@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from lorespark.plans import evaluation_queries, function_queries, ingest_queries, search_queries, table_queries  # noqa: F401
+from lorespark.plans.base import ORACLES, QUERIES
+
 
 def queries() -> dict:
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(ORACLES)
