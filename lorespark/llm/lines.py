@@ -185,7 +185,8 @@ def deduplicate_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     numbered = with_uid(pack(docs, id_col, text_col))
     gone = scratch.save(removed_lines(numbered.select("uid", "text"), scratch, "text", min_words, rare), "gone")
     scratch.release()
-    j = numbered.join(gone, "uid", "left")
+    # what goes grows with the documents, so it is never broadcast: the same join at every size
+    j = numbered.join(gone.hint("merge"), "uid", "left")
     n = F.when(F.col("text").isNull(), 0).otherwise(F.size(F.split("text", "\n", -1))).cast("long")
     removed = F.when(F.col("gone").isNull(), 0).when(F.element_at("gone", 1) == -1, n).otherwise(F.size("gone")).cast("long")
     pre = j.select("rest", n.alias("n_lines"), removed.alias("n_removed"), F.coalesce("n_partners", F.lit(0)).cast("long").alias("n_partners"), "text", "gone")
