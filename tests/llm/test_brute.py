@@ -350,6 +350,40 @@ def test_common_line_goes_from_all_but_the_first(spark):
     assert lines.deduplicate_lines(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
+def every_pair(rows):
+    return slow_lines(rows, rare=10**9)
+
+
+def removed(spark, rows, **kw):
+    out = lines.deduplicate_lines(spark.createDataFrame(sorted(rows.items()), "doc_id long, text string"), **kw)
+    return {r.doc_id: (r.n_removed, r.text) for r in out.collect()}
+
+
+def test_block_of_common_lines_goes(spark):
+    rows = {1: "a one two\nmine here", 2: "b one two\nhers here", **{i: f"a one two\nb one two\nown {i}" for i in range(10, 21)}}
+    assert removed(spark, rows) == every_pair(rows) and removed(spark, rows)[20][0] == 2
+    near = {i: f"so it is\nhead of {i // 2} in full words\nso it is\nand {i}" for i in range(24)}
+    assert removed(spark, near) == every_pair(near) and removed(spark, near)[23][0] == 3
+    # the first holder has the blocks in another order, a later one has each by itself
+    p, q = "p one two\np three four five", "q one two\nq three four"
+    cross = {0: f"{p}\n{q}", 1: f"{p}\nx", 2: f"{q}\ny", **{i: f"{q}\n{p}\n{i}" for i in range(3, 16)}}
+    assert removed(spark, cross) == every_pair(cross) and removed(spark, cross)[15][0] == 4
+
+
+@pytest.mark.parametrize("which", ["docs", "real"])
+def test_lines_of_every_pair_of_a_table(which, request):
+    df = request.getfixturevalue(which)
+    assert {r.doc_id: (r.n_removed, r.text) for r in lines.deduplicate_lines(df).collect()} == every_pair(texts(df))
+
+
+@pytest.mark.parametrize("rare, seed", [(1, 1), (3, 2), (8, 3)])
+def test_lines_of_every_pair(spark, rare, seed):
+    r = random.Random(seed)
+    stock = [" ".join(f"w{k}" for _ in range(r.randint(1, 6))) for k in range(14)]
+    rows = {i: "\n".join(r.choice([*stock, *stock[:3], f"own {i}", f"near {i // 3} of it", ""]) for _ in range(r.randint(1, 9))) for i in range(90)}
+    assert removed(spark, rows, rare=rare) == every_pair(rows)
+
+
 # ---- 8
 
 
