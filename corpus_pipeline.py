@@ -31,7 +31,8 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def mixing_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it, range-sorted by training position."""
     scratch = Scratch(spark, "mixing")
-    packed = with_uid(pack(docs, "doc_id", "text"))
+    # numbered by all columns, so that only rows equal in all of them share a number
+    packed = with_uid(pack(docs, "doc_id", "text").withColumn("_all", F.struct("text", "rest")), text_col="_all")
     mixed = mixing.mix(packed.select(F.col("uid").alias("doc_id"), "text", F.col("rest.source").alias("source")))
     each = mixing.positions(mixed).select(F.col("doc_id").alias("uid"), "copy", "position")
     each = scratch.save(each, "copies")

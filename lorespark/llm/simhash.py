@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lorespark.llm.common import Scratch, connected_components, small_batches
+from lorespark.llm.common import Scratch, connected_components, pack, small_batches, unpack, with_uid
 
 SHINGLE, RADIUS, SEED = 3, 2, 42
 #: Ids (8 bytes each) that deduplicate() broadcasts at most.
@@ -112,10 +112,11 @@ def hex16(fp: str = "fp"):
 
 
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Keep the document with the smallest id of each group, all columns; of rows that share that id, one.
+    """Keep the document with the smallest id of each group, all columns; of rows equal in id and text, one.
 
     The ids that go are sent to the documents while there are at most ``SENT_IDS`` of them, so whole texts aren't
-    shuffled; beyond that, or where ids are null or repeated, documents meet the ids that stay in a shuffled join.
+    shuffled; beyond that, documents meet the ids that stay in a shuffled join. Where ids are null or repeated, rows are numbered
+    by id and text (null ids last), and one number of each group stays, so unlike texts that share an id both do.
     """
     scratch = Scratch(docs.sparkSession, "dedup")
     found = scratch.save(near_duplicates(docs, id_col, text_col), "groups")
@@ -127,5 +128,9 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
             return docs.join(F.broadcast(ids), docs[id_col] == ids["_goes"], "left_anti")
         ids = scratch.save(found.where(stays).select(F.col(id_col).alias("_stays")), "stay")
         return docs.join(ids, docs[id_col] == ids["_stays"], "left_semi")
-    ids = scratch.save(found.where(stays).select(F.col(id_col).alias("_stays")).distinct(), "stay")
-    return docs.join(ids, docs[id_col].eqNullSafe(ids["_stays"]), "left_semi").dropDuplicates([id_col])
+    numbered = with_uid(pack(docs, id_col, text_col))
+    order = F.when(F.col("doc_id").isNull(), F.col("uid") + (1 << 62)).otherwise(F.col("uid"))  # null ids last
+    numbered = numbered.withColumn("uid", order)
+    again = near_duplicates(numbered.select("uid", "text"), "uid", "text")
+    ids = scratch.save(again.where(F.col("uid") == F.col("component_id")).select(F.col("uid").alias("_stays")).distinct(), "stay")
+    return unpack(numbered.join(ids, F.col("uid") == F.col("_stays"), "left_semi").dropDuplicates(["uid"]), docs, text_col)

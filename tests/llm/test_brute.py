@@ -126,6 +126,22 @@ def test_dedup_keeps_columns(spark):
     assert simhash.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_dedup_of_unlike_texts_that_share_an_id(spark):
+    rows = [(5, "a b c d", 1), (5, "q w e r t", 2), (7, "a b c d", 3), (None, "zz yy xx", 4), (None, "uu vv ww", 5), (None, "q w e r t", 6)]
+    out = simhash.deduplicate(spark.createDataFrame(rows, "doc_id long, text string, source int"))
+    assert sorted(x.source for x in out.collect()) == [1, 2, 4, 5]
+
+
+def test_mixing_keeps_sources_of_equal_texts(spark):
+    import corpus_pipeline
+
+    rows = [(1, "w " * 10, "en", "a"), (1, "w " * 10, "en", "b"), (None, "v " * 10, "en", "a"), (None, "v " * 10, "en", "b")]
+    taken = lambda d: collections.Counter(r.source for r in d.collect())
+    df = spark.createDataFrame(rows, SCHEMA)
+    want = {r.source: r.n for r in mixing.mix(df).groupBy("source").agg(F.sum("copies").alias("n")).collect()}
+    assert taken(corpus_pipeline.mixing_sources(spark, df, "")) == want and set(want) == {"a", "b"}
+
+
 # ---- 2
 
 
