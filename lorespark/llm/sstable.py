@@ -11,9 +11,9 @@ text writer can write it to any store it knows and its commit protocol survives
 * key: 8 bytes, big-endian document number with the sign bit flipped, so byte order is numeric order.
 * value: one byte, 2 or 4, then n ids, each <u2 or <u4, whichever holds them; the last is the end id.
 * index: for each block ``<QII`` (offset, length, entries) and its first and last key.
-* Bloom filter: ``<II`` (hashes k, bits m), then the bits; positions by double hashing of xxh3-128.
+* Bloom filter: ``<II`` (hashes k, bits m), then the bits; positions by double hashing of xxh3-128 in 64 bits.
 * footer (fixed ``FOOTER`` bytes): ``<QIQIQQQQ`` index offset and length, filter offset and length, entries,
-  tokens, smallest key's number as stored, reserved; then 8 bytes of magic.
+  tokens, smallest key's number as stored, the shard's place among all shards; then 8 bytes of magic.
 """
 
 from __future__ import annotations
@@ -79,15 +79,15 @@ def _read_varint(b: memoryview, at: int) -> tuple[int, int]:
 
 def _probes(key: bytes, k: int, m: int) -> list[int]:
     h = xxhash.xxh3_128_intdigest(key)
-    a, b = h & (1 << 64) - 1, h >> 64 | 1
-    return [(a + i * b) % m for i in range(k)]
+    a, b, full = h & (1 << 64) - 1, h >> 64 | 1, (1 << 64) - 1
+    return [(a + i * b & full) % m for i in range(k)]
 
 
 class ShardWriter:
     """Turn (key, value) pairs in ascending key order into a shard's segments, one block in memory at a time."""
 
-    def __init__(self, block_bytes: int = BLOCK_BYTES) -> None:
-        self.limit, self.at, self.index, self.keys, self.tokens = block_bytes, 0, [], [], 0
+    def __init__(self, block_bytes: int = BLOCK_BYTES, place: int = 0) -> None:
+        self.limit, self.place, self.at, self.index, self.keys, self.tokens = block_bytes, place, 0, [], [], 0
         self.pack = zstandard.ZstdCompressor(level=1)
         self._fresh()
 
@@ -122,13 +122,13 @@ class ShardWriter:
         index, index_at = b"".join(self.index), self.at
         yield index
         k, m = 7, max(64, -(-10 * len(self.keys) // 8) * 8)
-        bits = np.zeros(m // 8, np.uint8)
-        for key in self.keys:
-            for p in _probes(key, k, m):
-                bits[p >> 3] |= 1 << (p & 7)
-        bloom, bloom_at = struct.pack("<II", k, m) + bits.tobytes(), index_at + len(index) + 1
+        h = np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, self.keys)), ">u8").astype(np.uint64).reshape(-1, 2)
+        bits = np.zeros(m, bool)
+        for i in range(k):  # as _probes
+            bits[(h[:, 1] + np.uint64(i) * (h[:, 0] | np.uint64(1))) % np.uint64(m)] = True
+        bloom, bloom_at = struct.pack("<II", k, m) + np.packbits(bits, bitorder="little").tobytes(), index_at + len(index) + 1
         yield bloom
-        yield _FOOT.pack(index_at, len(index), bloom_at, len(bloom), len(self.keys), self.tokens, struct.unpack(">Q", self.keys[0])[0] if self.keys else 0, 0) + MAGIC
+        yield _FOOT.pack(index_at, len(index), bloom_at, len(bloom), len(self.keys), self.tokens, struct.unpack(">Q", self.keys[0])[0] if self.keys else 0, self.place) + MAGIC
 
 
 def write_shard(pairs: Iterable[tuple[bytes, bytes]], block_bytes: int = BLOCK_BYTES) -> Iterator[bytes]:
@@ -146,7 +146,7 @@ class Shard:
         self.data = memoryview(data).cast("B")
         if len(data) < FOOTER + 1 or bytes(self.data[-1 - len(MAGIC) : -1]) != MAGIC:
             raise ValueError("not a shard, or a torn one")
-        ia, il, ba, bl, self.entries, self.tokens, _, _ = _FOOT.unpack(self.data[-1 - FOOTER : -1 - len(MAGIC)])
+        ia, il, ba, bl, self.entries, self.tokens, _, self.place = _FOOT.unpack(self.data[-1 - FOOTER : -1 - len(MAGIC)])
         step = 16 + 16
         raw = bytes(self.data[ia : ia + il])
         self.blocks = [(*struct.unpack_from("<QII", raw, i), raw[i + 16 : i + 24], raw[i + 24 : i + 32]) for i in range(0, il, step)]
@@ -210,23 +210,33 @@ class Shard:
 def write_tokens(docs: DataFrame, out_dir: str, path: str | None = None, id_col: str = "doc_id", text_col: str = "text", end_id: int = END_ID, shard_bytes: int = SHARD_BYTES) -> None:
     """Encode every whole text, append ``end_id`` and write shards in ascending id order below ``out_dir``.
 
-    Documents are dealt by ranges of their ids, so file order and key order agree; each task holds one block.
-    A null or empty text is a document of the end id alone. Repeated ids stay repeated keys, ordered by text; if
-    any id is null all are numbered first (``with_uid``), nulls before others.
+    Documents are dealt by ranges of (id, hash of the text, input row), so file order and key order agree and one id
+    on many rows is dealt to many shards; each task holds one block, and a shard knows its place. A null or empty
+    text is a document of the end id alone. Repeated ids stay repeated keys, ordered by the text's hash; if any id
+    is null all are numbered first (``with_uid``), nulls before others.
     """
+    from pyspark import TaskContext
+
     small_batches(docs.sparkSession)
     path = path or tokenizer_path()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, w, some = encoder(path), ShardWriter(), False
-        tail = np.array([end_id], np.uint32)
+        enc, w, some = encoder(path), ShardWriter(place=TaskContext.get().partitionId()), False
         for b in gathered(batches, 1):
             done = []
             flat, starts = enc.encode(b.column(1))
-            for i, n in enumerate(b.column(0).to_pylist()):
+            ends = starts[1:] + np.arange(1, b.num_rows + 1)  # with an end id for each
+            ids, is_end = np.empty(flat.size + b.num_rows, "<u4"), np.zeros(flat.size + b.num_rows, bool)
+            is_end[ends - 1] = True
+            ids[is_end], ids[~is_end] = end_id, flat
+            narrow = int(ids.max()) < 1 << 16 if ids.size else True
+            raw, width = (ids.astype("<u2").tobytes(), 2) if narrow else (b"", 0)
+            at = 0
+            for n, e in zip(b.column(0).to_pylist(), ends.tolist(), strict=True):
                 some = True
-                ids = np.concatenate([flat[starts[i] : starts[i + 1]], tail])
-                if (block := w.add(pack_key(n), pack_ids(ids))) is not None:
+                value = b"\x02" + raw[at * width : e * width] if narrow else pack_ids(ids[at:e])
+                at = e
+                if (block := w.add(pack_key(n), value)) is not None:
                     done.append(block)
             if done:
                 yield pa.RecordBatch.from_arrays([pa.array(done, pa.binary())], names=["segment"])
@@ -238,25 +248,27 @@ def write_tokens(docs: DataFrame, out_dir: str, path: str | None = None, id_col:
     spark = docs.sparkSession
     n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // shard_bytes))
     rows = docs if "uid" in docs.columns else with_uid(docs, id_col, text_col, unique=False)
-    dealt = rows.select("uid", F.col(text_col).cast("string").alias("t")).repartitionByRange(n, "uid").sortWithinPartitions("uid", "t")
-    dealt.mapInArrow(run, "segment binary").select(F.col("segment").cast("string").alias("value")).write.option("compression", "none").text(out_dir)
+    keyed = rows.select("uid", F.col(text_col).cast("string").alias("t"), F.xxhash64(text_col).alias("_tag"), F.monotonically_increasing_id().alias("_row"))
+    dealt = keyed.repartitionByRange(n, "uid", "_tag", "_row").sortWithinPartitions("uid", "_tag")
+    dealt.select("uid", "t").mapInArrow(run, "segment binary").select(F.col("segment").cast("string").alias("value")).write.option("compression", "none").text(out_dir)
 
 
 def read_tokens(spark, out_dir: str) -> DataFrame:
     """(shard, uid, before, n_tokens, ids_crc32) of every entry below ``out_dir``, decoded from the shards by Spark's
-    file reader; shard is its smallest uid, before counts the shard's ids before the entry."""
+    file reader; shard is its place among all, before counts the shard's ids before the entry."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for raw in b.column(0):
                 keys, sizes, sums = [], [], []
-                for k, v in Shard(raw.as_buffer()).scan() if raw.is_valid else ():
+                shard = Shard(raw.as_buffer())
+                for k, v in shard.scan():
                     keys.append(unpack_key(k))
                     ids = unpack_ids(v)
                     sizes.append(ids.size)
                     sums.append(zlib.crc32(ids.tobytes()))
                 n = np.array(sizes, np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(n.size, keys[0] if keys else 0)), pa.array(keys, pa.int64()), pa.array(np.cumsum(n) - n), pa.array(n), pa.array(sums, pa.int64())], names=["shard", "uid", "before", "n_tokens", "ids_crc32"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(n.size, shard.place)), pa.array(keys, pa.int64()), pa.array(np.cumsum(n) - n), pa.array(n), pa.array(sums, pa.int64())], names=["shard", "uid", "before", "n_tokens", "ids_crc32"])
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(out_dir).where(F.col("length") > 0)
     return files.select("content").mapInArrow(run, "shard long, uid long, before long, n_tokens long, ids_crc32 long")

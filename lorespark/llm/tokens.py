@@ -5,9 +5,8 @@ from __future__ import annotations
 import json
 import os
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
-from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -18,9 +17,11 @@ from pyspark.sql import functions as F
 
 from lorespark.llm.common import small_batches
 
-#: Chunks, and pre-tokens beside the proven ones, whose ids a worker remembers: the first that it meets. Results
-#: don't depend on it.
-MEMO = 300_000
+#: Bytes that a worker's memory of chunks may take, and that of pre-tokens beside the proven ones: the first that it
+#: meets. Each entry counts ENTRY bytes besides its own; longer ones than LONGEST are never kept. Results don't depend on it.
+MEMO, ENTRY, LONGEST = 64 << 20, 200, 64
+#: Pre-tokens that one call of the library encodes: it holds some hundred bytes for each byte of its input.
+CALL = 2000
 LIMIT = 2048
 #: Texts without any of these have a plain normal form: lower case of each character, nothing to compose.
 _BEYOND = re.compile("[^\\t\\n\\x0b\\x0c\\r\\x20-\\x7e\\xa1-\\xac\\xae-\\u024f]")
@@ -55,8 +56,9 @@ class Encoder:
         vocab = self.lib.get_vocab(with_added_tokens=True)
         self.last = np.zeros(max(vocab.values()) + 1, bool)  # ids that end a pre-token
         self.last[[i for s, i in vocab.items() if self.end and s.endswith(self.end)]] = True
-        self.ids: dict[str, bytes] = {}
+        self.ids: dict[str, bytes] = {p: np.uint32(i).tobytes() for p, i in self.proven.items()}
         self.chunks: dict[str, bytes] = {}
+        self.room = {id(self.ids): MEMO, id(self.chunks): MEMO}
         self.split_lines = regex.compile(f"{self.split.pattern}|\n") if self.separable else None
 
     @staticmethod
@@ -91,13 +93,13 @@ class Encoder:
         out = {}
         if rare:
             out.update((p, np.array(e.ids, "<u4").tobytes()) for p, e in zip(rare, self.lib.encode_batch_fast([p[1:] for p in rare], add_special_tokens=False), strict=True))
-        if plain:
-            flat = np.array(self.lib.encode_batch_fast([" ".join(plain)], add_special_tokens=False)[0].ids, "<u4")
+        for some in (plain[i : i + CALL] for i in range(0, len(plain), CALL)):
+            flat = np.array(self.lib.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, "<u4")
             ends = (4 * (np.flatnonzero(self.last[flat]) + 1)).tolist()
-            if len(ends) != len(plain) or ends[-1] != 4 * len(flat):
+            if len(ends) != len(some) or ends[-1] != 4 * len(flat):
                 raise ValueError("pre-tokens and their ids don't agree")
             raw, at = flat.tobytes(), 0
-            for p, e in zip(plain, ends, strict=True):
+            for p, e in zip(some, ends, strict=True):
                 out[p] = raw[at:e]
                 at = e
         return out
@@ -106,8 +108,6 @@ class Encoder:
         """Ids of each of these chunks, end to end and their sizes in bytes: what is known of their pre-tokens and one
         call for the rest. A chunk that only the library can take stands as one pre-token, after a tab."""
         memo = self.ids
-        if not memo:
-            memo.update((p, np.uint32(i).tobytes()) for p, i in self.proven.items())
         text = "\n".join(chunks)
         if _BEYOND.search(text) or "<|" in text:
             odd = [bool(_BEYOND.search(c)) or "<|" in c for c in chunks]
@@ -122,15 +122,21 @@ class Encoder:
         new["\n"] = b""
         got = [new[p] if v is None else v for p, v in zip(pre, got, strict=True)]
         del new["\n"]
-        self._keep(memo, new, MEMO + len(self.proven))
+        self._keep(memo, new.items())
         upto = np.cumsum(np.fromiter(map(len, got), np.int64, len(got)))
         ends = upto[np.fromiter((p == "\n" for p in pre), bool, len(pre))]
         return b"".join(got), np.diff(ends, prepend=0)
 
-    @staticmethod
-    def _keep(memo: dict, new: dict, most: int) -> None:
-        """Fill the memory; what is common is met early, so what is there stays."""
-        memo.update(islice(new.items(), max(0, most - len(memo))))
+    def _keep(self, memo: dict[str, bytes], new: Iterable[tuple[str, bytes]]) -> None:
+        """Fill the memory up to its bytes; what is common is met early, so what is there stays."""
+        room = self.room[id(memo)]
+        for k, v in new:
+            if room <= 0:
+                break
+            if len(k) <= LONGEST:
+                memo[k] = v
+                room -= ENTRY + len(k) + len(v)
+        self.room[id(memo)] = room
 
     def _known(self, chunks: list[str], memo: dict[str, bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Ids of these distinct chunks: all end to end, where each chunk's begin, and how many they are."""
@@ -148,8 +154,7 @@ class Encoder:
             size[unseen] = sizes
             at = np.cumsum(sizes) - sizes
             first[unseen] = at + len(old)
-            room = max(0, MEMO - len(memo))
-            memo.update((c, raw[i : i + n]) for c, i, n in zip(fresh[:room], at[:room].tolist(), sizes[:room].tolist(), strict=True))
+            self._keep(memo, ((c, raw[i : i + n]) for c, i, n in zip(fresh, at.tolist(), sizes.tolist(), strict=True)))
         return np.frombuffer(old + raw, "<u4"), first // 4, size // 4
 
     @staticmethod
@@ -181,18 +186,31 @@ class Encoder:
         return np.diff(np.concatenate([[0], np.cumsum(size[at])])[starts])
 
 
-def gathered(batches: Iterator[pa.RecordBatch], column: int, most: int = 1 << 23) -> Iterator[pa.RecordBatch]:
-    """The same rows in batches of at least ``most`` bytes in a column, but for the last: fewer chunks to look up."""
+def gathered(batches: Iterator[pa.RecordBatch], column: int, most: int = 1 << 22) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of about ``most`` bytes in a column: enough for few distinct chunks, and no more than
+    that and one row. Arrow's pool gives back what a batch took before the next is read."""
     held: list[pa.RecordBatch] = []
     size = 0
+
+    def whole() -> Iterator[pa.RecordBatch]:
+        yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+        held.clear()
+        pa.default_memory_pool().release_unused()
+
     for b in batches:
-        held.append(b)
-        size += b.column(column).nbytes
-        if size >= most:
-            yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
-            held, size = [], 0
+        upto = pc.fill_null(pc.binary_length(b.column(column)), 0).to_numpy(zero_copy_only=False).cumsum()
+        at = 0
+        while at < b.num_rows:
+            before = int(upto[at - 1]) if at else 0
+            end = min(b.num_rows, int(np.searchsorted(upto, before + most - size, "left")) + 1)
+            held.append(b.slice(at, end - at))
+            size += int(upto[end - 1]) - before
+            at = end
+            if size >= most:
+                yield from whole()
+                size = 0
     if held:
-        yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+        yield from whole()
 
 
 @lru_cache(maxsize=2)
