@@ -58,7 +58,9 @@ class Encoder:
         self.last[[i for s, i in vocab.items() if self.end and s.endswith(self.end)]] = True
         self.ids: dict[str, bytes] = {p: np.uint32(i).tobytes() for p, i in self.proven.items()}
         self.chunks: dict[str, bytes] = {}
-        self.room = {id(self.ids): MEMO, id(self.chunks): MEMO}
+        self.counts: dict[str, int] = dict.fromkeys(self.proven, 1)
+        self.sizes: dict[str, int] = {}
+        self.room = {id(x): MEMO for x in (self.ids, self.chunks, self.counts, self.sizes)}
         self.split_lines = regex.compile(f"{self.split.pattern}|\n") if self.separable else None
 
     @staticmethod
@@ -104,19 +106,23 @@ class Encoder:
                 at = e
         return out
 
+    def _pretokens(self, chunks: list[str]) -> list[str]:
+        """Pre-tokens of these chunks, each chunk's followed by a line feed. A chunk that only the library can take stands
+        as one pre-token, after a tab."""
+        text = "\n".join(chunks)
+        if not (_BEYOND.search(text) or "<|" in text):
+            return [*self.split_lines.findall(text.lower()), "\n"]
+        pre: list[str] = []
+        for c in chunks:
+            pre += ["\t" + c] if _BEYOND.search(c) or "<|" in c else self.split.findall(c.lower())
+            pre.append("\n")
+        return pre
+
     def _learn(self, chunks: list[str]) -> tuple[bytes, np.ndarray]:
-        """Ids of each of these chunks, end to end and their sizes in bytes: what is known of their pre-tokens and one
-        call for the rest. A chunk that only the library can take stands as one pre-token, after a tab."""
+        """Ids of each of these chunks, end to end and their sizes in bytes: what is known of their pre-tokens and a few
+        calls for the rest."""
         memo = self.ids
-        text = "\n".join(chunks)
-        if _BEYOND.search(text) or "<|" in text:
-            odd = [bool(_BEYOND.search(c)) or "<|" in c for c in chunks]
-            pre: list[str] = []
-            for c, x in zip(chunks, odd, strict=True):
-                pre += ["\t" + c] if x else self.split.findall(c.lower())
-                pre.append("\n")
-        else:
-            pre = [*self.split_lines.findall(text.lower()), "\n"]
+        pre = self._pretokens(chunks)
         got = list(map(memo.get, pre))
         new = self._merge(list({p for p, v in zip(pre, got, strict=True) if v is None} - {"\n"}))
         new["\n"] = b""
@@ -127,7 +133,17 @@ class Encoder:
         ends = upto[np.fromiter((p == "\n" for p in pre), bool, len(pre))]
         return b"".join(got), np.diff(ends, prepend=0)
 
-    def _keep(self, memo: dict[str, bytes], new: Iterable[tuple[str, bytes]]) -> None:
+    def _weigh(self, chunks: list[str]) -> np.ndarray:
+        """Tokens of each of these chunks: 1 for each proven pre-token; the others are merged and their ids counted."""
+        memo = self.counts
+        pre = self._pretokens(chunks)
+        got = list(map(memo.get, pre))
+        new = {p: len(x) // 4 for p, x in self._merge(list({p for p, v in zip(pre, got, strict=True) if v is None} - {"\n"})).items()}
+        n = np.fromiter((v if v is not None else new[p] if p != "\n" else 0 for p, v in zip(pre, got, strict=True)), np.int64, len(pre))
+        self._keep(memo, new.items())
+        return np.diff(np.cumsum(n)[np.fromiter((p == "\n" for p in pre), bool, len(pre))], prepend=0)
+
+    def _keep(self, memo: dict, new: Iterable[tuple[str, bytes | int]]) -> None:
         """Fill the memory up to its bytes; what is common is met early, so what is there stays."""
         room = self.room[id(memo)]
         for k, v in new:
@@ -135,7 +151,7 @@ class Encoder:
                 break
             if len(k) <= LONGEST:
                 memo[k] = v
-                room -= ENTRY + len(k) + len(v)
+                room -= ENTRY + len(k) + (len(v) if isinstance(v, bytes) else 0)
         self.room[id(memo)] = room
 
     def _known(self, chunks: list[str], memo: dict[str, bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -163,7 +179,7 @@ class Encoder:
         lists = pc.ascii_split_whitespace(pc.fill_null(texts.cast(pa.large_string()), ""))
         coded = lists.flatten().dictionary_encode()
         starts = lists.offsets.to_numpy()
-        return coded.dictionary.to_pylist(), coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), starts - starts[0]
+        return coded.dictionary.to_pylist(), coded.indices.to_numpy(zero_copy_only=False), starts - starts[0]
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids of these texts end to end (<u4), and where each text's ids start (one more: the end)."""
@@ -172,21 +188,28 @@ class Encoder:
             return np.concatenate([np.empty(0, "<u4"), *each]), np.cumsum([0, *map(len, each)])
         words, at, starts = self._chunks(texts)
         flat, first, size = self._known(words, self.chunks)
-        n = size[at]
-        ends = np.cumsum(n)
-        ids = flat[np.repeat(first[at] - ends + n, n) + np.arange(ends[-1] if n.size else 0)]
-        return ids, np.concatenate([[0], ends])[starts]
+        ends = np.concatenate([[0], np.cumsum(size[at])])
+        ids, shift = np.empty(ends[-1], "<u4"), first[at] - ends[:-1]
+        for i in range(0, len(at), 1 << 17):  # the places of some chunks' ids at once
+            part = slice(i, i + (1 << 17))
+            a, b = ends[i], ends[min(i + (1 << 17), len(at))]
+            ids[a:b] = flat[np.repeat(shift[part], size[at[part]]) + np.arange(a, b)]
+        return ids, ends[starts]
 
     def count(self, texts: pa.Array) -> np.ndarray:
         """Tokens of each text: proven pre-tokens count one each, only the others are merged."""
         if not self.separable:
             return np.array([len(self.lib.encode(t or "", add_special_tokens=False).ids) for t in texts.to_pylist()], np.int64)
         words, at, starts = self._chunks(texts)
-        _, _, size = self._known(words, self.chunks)
+        size = np.fromiter((self.sizes.get(c, -1) for c in words), np.int64, len(words))
+        if (unseen := np.flatnonzero(size < 0)).size:
+            fresh = [words[i] for i in unseen.tolist()]
+            size[unseen] = self._weigh(fresh)
+            self._keep(self.sizes, zip(fresh, size[unseen].tolist(), strict=True))
         return np.diff(np.concatenate([[0], np.cumsum(size[at])])[starts])
 
 
-def gathered(batches: Iterator[pa.RecordBatch], column: int, most: int = 1 << 22) -> Iterator[pa.RecordBatch]:
+def gathered(batches: Iterator[pa.RecordBatch], column: int, most: int = 6 << 20) -> Iterator[pa.RecordBatch]:
     """The same rows in batches of about ``most`` bytes in a column: enough for few distinct chunks, and no more than
     that and one row. Arrow's pool gives back what a batch took before the next is read."""
     held: list[pa.RecordBatch] = []
