@@ -101,12 +101,18 @@ def drop_blocks(early: dict[int, int], late: dict[int, int], words: dict[int, in
     return gone
 
 
-def postings(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """(h1, h2, uid, at, words): each line with a word, as two hashes of its trimmed text, places counted from 0."""
+def at_least(n: int) -> str:
+    """A pattern that finds n words; it stops at the nth, however long the text."""
+    return rf"(?:[^\x20\x09-\x0D]+[\x20\x09-\x0D]+){{{n - 1}}}[^\x20\x09-\x0D]"
+
+
+def postings(docs: DataFrame, text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
+    """(h1, h2, uid, at, words): each line with a word, as two hashes of its trimmed text, places counted from 0; words
+    are counted up to min_words, as more make no difference."""
     lines = docs.select("uid", F.posexplode(F.split(F.col(text_col), "\n", -1)).alias("at", "line"))
-    line = F.regexp_replace("line", r"^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$", "")
-    cut = lines.select("uid", "at", line.alias("line")).where(F.col("line") != "")
-    return cut.select(F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(7), "line").alias("h2"), "uid", "at", F.regexp_count("line", F.lit(r"[^\x20\x09-\x0D]+")).alias("words"))
+    cut = lines.select("uid", "at", F.btrim("line", F.lit(" \t\n\x0b\x0c\r")).alias("line")).where(F.col("line") != "")
+    words = F.when(F.col("line").rlike(f"^{at_least(min_words)}"), min_words).otherwise(F.regexp_count("line", F.lit(r"[^\x20\x09-\x0D]+")))
+    return cut.select(F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(7), "line").alias("h2"), "uid", "at", words.alias("words"))
 
 
 def line_lists(found: DataFrame, scratch: Scratch, rare: int = RARE) -> tuple[DataFrame, DataFrame]:
@@ -257,11 +263,11 @@ def removed_lines(docs: DataFrame, scratch: Scratch, text_col: str = "text", min
     shuffled, not texts. n_partners counts the earlier documents looked at that lines went by; there may be more.
     """
     text = F.col(text_col)
-    keyed = docs.where(text.isNotNull()).select("uid", F.xxhash64(text).alias("t1"), F.xxhash64(F.lit(7), text).alias("t2"), F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")).alias("n"))
+    keyed = docs.where(text.isNotNull()).select("uid", F.xxhash64(text).alias("t1"), F.xxhash64(F.lit(7), text).alias("t2"), text.rlike(at_least(min_words)).alias("long"))
     keyed = scratch.save(keyed, "texts")
     firsts = scratch.save(keyed.groupBy("t1", "t2").agg(F.min("uid").alias("first"), F.count(F.lit(1)).alias("copies")).where("copies > 1"), "copies")
-    later = scratch.save(keyed.join(firsts, ["t1", "t2"]).where((F.col("uid") != F.col("first"))).select("uid", "n"), "later")
-    found = postings(docs, text_col).join(later.select("uid"), "uid", "left_anti")
+    later = scratch.save(keyed.join(firsts, ["t1", "t2"]).where((F.col("uid") != F.col("first"))).select("uid", "long"), "later")
+    found = postings(docs, text_col, min_words).join(later.select("uid"), "uid", "left_anti")
     small_batches(docs.sparkSession)
     lists, near = line_lists(found, scratch, rare)
     runs = scratch.save(common_runs(lists, min_words), "runs")
@@ -277,7 +283,7 @@ def removed_lines(docs: DataFrame, scratch: Scratch, text_col: str = "text", min
     if not left.isEmpty():
         aligned = aligned.union(align_kinds(left, runs, near, min_words))
     gone = aligned.groupBy(F.col("b").alias("uid")).agg(F.array_distinct(F.flatten(F.collect_list("gone"))).alias("gone"), F.count_distinct("a").alias("n_partners"))
-    copies = later.where(F.col("n") >= min_words).select("uid", F.array(F.lit(-1)).alias("gone"), F.lit(1).cast("long").alias("n_partners"))
+    copies = later.where("long").select("uid", F.array(F.lit(-1)).alias("gone"), F.lit(1).cast("long").alias("n_partners"))
     return gone.union(copies)
 
 
