@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import html as _html
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -39,6 +40,8 @@ BAD_HINT = re.compile(
     r"(?:^|[\s_-])(?:ads?|adverts?|advertis\w*|banner|breadcrumbs?|comments?|commentlist|respond|reply|replies|cookies?|consent|gdpr|disclaimer|dropdown|footer|foot|footnav|header|masthead|login|signin|signup|menu|menubar|modal|nav|navbar|navigation|newsletter|notices?|notification|alert|pager|pagination|popup|promo|promoted|related|recommended|share|sharing|shares|sidebar|side|skip|social|sponsor\w*|subscribe|subscription|tags?|toolbar|topbar|widget|complementary|contentinfo|search|disqus|legal|copyright|outbrain|taboola)(?=$|[\s_-])",
     re.I,
 )
+#: The same for article elements, which may stand for comments and teasers, as the start of a class.
+BAD_ARTICLE = re.compile(r"(?:^|\s)(?:ads?|adverts?|advertis\w*|comments?|reply|replies|promo|promoted|related|recommended|sponsor\w*|teaser|widget)(?=$|[\s_-])", re.I)
 GOOD_HINT = re.compile(r"(?:^|[\s_-])(?:article|articlebody|body-?content|content|entry|main|post|story|text|blog|prose)(?=$|[\s_-])", re.I)
 _TAG = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[(.*?)(?:\]\]>|$)|<[!?][^>]*(?:>|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|$)|'[^']*(?:'|$))*)(?:>|$)", re.S)
 _ATTR = re.compile(r"([a-zA-Z_:][\w:.-]*)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
@@ -56,12 +59,15 @@ class Block:
     good: bool
     label: str = ""
     words: list[str] = field(default_factory=list)
+    stops: int = 0
 
 
 def blocks(page: str) -> list[Block]:
     """Cut a page into blocks: text between block-level tags. Torn tags and missing ends are taken as browsers do, roughly."""
     out: list[Block] = []
-    stack: list[tuple[str, bool, int, bool]] = []  # tag, bad, scope, good
+    stack: list[tuple[str, bool, int, bool, str]] = []  # tag; bad, scope, good and block-level tag outside it
+    at_block: list[int] = []  # places of block-level tags on the stack
+    is_open: Counter[str] = Counter()
     parts: list[str] = []
     linked = 0
     in_link = 0
@@ -84,6 +90,15 @@ def blocks(page: str) -> list[Block]:
             if in_link:
                 linked += len(_SPACE.sub(" ", s).strip())
 
+    def leave(k: int) -> tuple[bool, int, bool, str]:
+        """Close all from the k-th open tag on."""
+        is_open.subtract(s[0] for s in stack[k:])
+        before = stack[k][1:]
+        del stack[k:]
+        while at_block and at_block[-1] >= k:
+            at_block.pop()
+        return before
+
     at, n = 0, len(page)
     while at < n:
         m = _TAG.search(page, at)
@@ -118,17 +133,14 @@ def blocks(page: str) -> list[Block]:
                 pass
             continue
         if closing:
-            if name in BLOCK or any(s[0] == name for s in stack):
-                k = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == name), -1)
-                if name in BLOCK:
+            if name in BLOCK:
+                flush()
+                in_link = 0
+            if is_open[name] > 0:
+                k = next(i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == name)
+                if any(s[1] != bad or s[2] != scope for s in stack[k:]):
                     flush()
-                    in_link = 0
-                if k >= 0:
-                    if any(s[1] != bad or s[2] != scope for s in stack[k:]):
-                        flush()
-                    _, bad, scope, good = stack[k]
-                    del stack[k:]
-                    tag_now = next((s[0] for s in reversed(stack) if s[0] in BLOCK), "body")
+                bad, scope, good, tag_now = leave(k)
             continue
         hints = ""
         role = ""
@@ -143,28 +155,22 @@ def blocks(page: str) -> list[Block]:
                 elif key == "hidden" or key == "aria-hidden" and value == "true" or key == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
                     hidden = True
         is_block = name in BLOCK
-        worse = hidden or name in SKIP or role in ("navigation", "banner", "contentinfo", "complementary", "search", "alert", "dialog", "form", "menu") or bool(hints and BAD_HINT.search(hints) and not (name in ("article", "main", "body", "html")))
+        worse = hidden or name in SKIP or role in ("navigation", "banner", "contentinfo", "complementary", "search", "alert", "dialog", "form", "menu") or bool(hints and (BAD_ARTICLE if name == "article" else BAD_HINT).search(hints) and name not in ("main", "body", "html"))
         if name == "header" and scope and not hints:  # an article's own head holds its heading
             worse = False
         if is_block or worse:
             flush()
             in_link = 0 if is_block else in_link
-        if name == "p":  # an open paragraph ends here
-            k = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] in BLOCK), -1)
-            if k >= 0 and stack[k][0] == "p":
-                _, bad, scope, good = stack[k]
-                del stack[k:]
-        elif name in ("li", "dd", "dt", "tr", "td", "th", "option"):
-            k = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] in BLOCK), -1)
-            if k >= 0 and stack[k][0] == name:
-                _, bad, scope, good = stack[k]
-                del stack[k:]
-        elif is_block and stack and any(s[0] == "p" for s in stack[-3:]):
-            k = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == "p"), -1)
-            _, bad, scope, good = stack[k]
-            del stack[k:]
+        inner = at_block[-1] if at_block else -1
+        if name == "p" and inner >= 0 and stack[inner][0] == "p" or name in ("li", "dd", "dt", "tr", "td", "th", "option") and inner >= 0 and stack[inner][0] == name:
+            bad, scope, good, tag_now = leave(inner)  # one that is open ends here
+        elif is_block and any(s[0] == "p" for s in stack[-3:]):
+            bad, scope, good, tag_now = leave(next(i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == "p"))
         if not m[4].rstrip().endswith("/") or is_block:
-            stack.append((name, bad, scope, good))
+            if is_block:
+                at_block.append(len(stack))
+            stack.append((name, bad, scope, good, tag_now))
+            is_open[name] += 1
         bad = bad or worse
         if (name in ("article", "main") or role in ("main", "article")) and not bad:
             if not scope:
@@ -184,35 +190,45 @@ def classify(
 ) -> list[Block]:
     """Label blocks good or bad, in two passes.
 
-    First pass, each block by itself: bad where its element says so (menus, notices, forms, ...) or links hold
-    over ``max_link`` of it; good or bad by length and stop-word density; short blocks are undecided, and near-good
-    where density is between. A page with an article or main element decides by scope: outside it all is bad.
-    Second pass: undecided blocks inherit from the nearest decided neighbours within their own scope, good where
-    these are good or disagree but the nearer is good; where the whole scope is undecided an article's blocks are
-    good. Headings take the label of what follows.
+    First pass, each block by itself: bad where its element says so (menus, notices, forms, ...), links hold over
+    ``max_link`` of it, or a page with an article or main element (else with elements that are called content) has it
+    outside; good where it is long and stop words are dense; headings and short blocks are undecided, and those of
+    middling density are undecided but near good. Long blocks with next to no stop words are bad, or undecided within
+    an article. A page in a language that the list doesn't know (English, French, German and Spanish are known) is
+    judged by length and links alone.
+
+    Second pass: undecided blocks inherit from the nearest decided neighbours within their own scope, the nearer of
+    two that differ; within an article good wins, and where nothing of it is decided good, all that is undecided is.
+    Headings take the label of what follows.
     """
     scoped = any(b.scope and not b.bad for b in found)
     hinted = not scoped and any(b.good and not b.bad for b in found)
+    stops = total = 0
     for b in found:
         b.words = _WORD.findall(b.text.lower())
+        b.stops = sum(w in STOP_WORDS for w in b.words)
+        stops, total = stops + b.stops, total + len(b.words)
+    known = stops >= 0.02 * total
+    inside_ok: set[int] = set()  # scopes with a good block
+    for b in found:
         n = len(b.words)
-        stop = sum(w in STOP_WORDS for w in b.words) / n if n else 0.0
+        stop = b.stops / n if n else 0.0
         link = b.linked / max(1, len(b.text))
         inside = b.scope > 0 if scoped else b.good if hinted else True
         if b.bad or not inside or (link > max_link and n > 0 and (b.tag != "p" or link > 0.8)):
             b.label = "bad"
-        elif (scoped or hinted) and link <= max_link and (n >= min_words or b.tag in ("p", "pre", "blockquote")) and stop >= 0.05:
-            b.label = "good"
         elif b.tag in HEADINGS:
             b.label = "heading"
         elif n < min_words:
             b.label = "short"
-        elif stop >= stop_high:
-            b.label = "good" if n >= long_words else "near"
+        elif not known or stop >= stop_high:
+            b.label = "good" if n >= long_words or scoped or hinted else "near"
         elif stop >= stop_low:
-            b.label = "near"
+            b.label = "good" if scoped or hinted else "near"
         else:
-            b.label = "short" if scoped or hinted else "bad"
+            b.label = "weak" if scoped or hinted else "bad"
+        if b.label == "good":
+            inside_ok.add(b.scope)
     n = len(found)
     prev: list[tuple[str, int]] = [("", 0)] * n
     nxt: list[tuple[str, int]] = [("", 0)] * n
@@ -221,8 +237,8 @@ def classify(
         scope = -1
         for i in order:
             b = found[i]
-            if (scoped or hinted) and b.label == "bad" and not (b.scope > 0 if scoped else b.good):
-                continue  # outside the article: no neighbour of what is inside
+            if (scoped or hinted) and (b.bad or not (b.scope > 0 if scoped else b.good)):
+                continue  # outside the article, or put into it: no neighbour of what is inside
             if b.scope != scope:
                 seen, scope = ("", 0), b.scope
             into[i] = seen
@@ -232,13 +248,15 @@ def classify(
         if b.label in ("good", "bad"):
             continue
         (p, pi), (q, qi) = prev[i], nxt[i]
-        if b.label == "heading" and q:
+        if (scoped or hinted) and b.scope not in inside_ok:
+            b.label = "good"
+        elif b.label == "heading" and q:
             b.label = q
         elif p and q and p != q:
             near = p if i - pi < qi - i else q if qi - i < i - pi else "good" if b.label == "near" else "bad"
-            b.label = near if not (scoped or hinted) else "good"
+            b.label = "good" if scoped or hinted else near
         elif p or q:
-            b.label = p or q if b.label != "near" else "good" if "good" in (p, q) or scoped or hinted else "bad"
+            b.label = (p or q) if b.label != "near" else "good" if "good" in (p, q) else "bad"
         else:
             b.label = "good" if scoped or hinted or b.label == "near" else "bad"
     return found

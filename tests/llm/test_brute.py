@@ -167,6 +167,49 @@ def test_html_plain_page_by_density():
     assert html.main_text(page) == "\n\n".join(["Head of it", body.strip(), "Yes.", body.strip()])
 
 
+PROSE = "This is the story of a man who was in the house and it was the best that he had for all of his life there. " * 2
+
+
+@pytest.mark.parametrize(
+    "body, want",
+    [
+        # no article: prose by density, a long list of names has none, short lines follow their neighbours
+        (f"<p>{PROSE}</p><p>Yes.</p><p>{PROSE}</p><div>{'Alpha Beta Gamma Delta ' * 6}</div><div>More</div>", [PROSE, "Yes.", PROSE]),
+        # within an article: links make a list bad, and what stands between two such lists; a list of names at prose stays
+        (f"<article><p>{PROSE}</p><p>{'Alpha Beta Gamma Delta ' * 6}</p><ul><li><a href=x>One thing</a></li></ul><p>Oslo Bergen</p><ul><li><a href=y>Two things</a></li></ul></article>", [PROSE, "Alpha Beta Gamma Delta " * 6]),
+        # an article without stop words has nothing decided, and stays
+        (f"<article><p>{'Qwe Rtz Uio ' * 9}</p><p>Asd</p></article><p>{PROSE}</p>", ["Qwe Rtz Uio " * 9, "Asd"]),
+        # an unknown language is judged by length and links
+        (f"<p>{'сегодня мы увидели новый город и старую реку ' * 6}</p><div><a href=x>дом</a></div>", ["сегодня мы увидели новый город и старую реку " * 6]),
+        # comments in articles of their own
+        (f"<main><article><p>{PROSE}</p></article><article class='comment by-me'><p>{PROSE}</p></article></main>", [PROSE]),
+        # a notice put into an article says nothing about the line after it
+        (f"<article><p>{PROSE}</p><div class=promo>Buy it now</div><p>The end of it.</p></article>", [PROSE, "The end of it."]),
+    ],
+)
+def test_html_rules(body, want):
+    assert html.main_text(f"<html><body><nav><a href=a>Home</a></nav>{body}<footer>All rights</footer></body></html>") == "\n\n".join(x.strip() for x in want)
+
+
+def test_html_density_decides(monkeypatch):
+    page = f"<body><p>{PROSE}</p><div>{'Alpha Beta Gamma Delta ' * 9}</div><p>{PROSE}</p></body>"
+    with_words = html.main_text(page)
+    monkeypatch.setattr(html, "STOP_WORDS", frozenset())
+    assert "Alpha" not in with_words and "Alpha" in html.main_text(page)
+
+
+def test_html_time_is_linear():
+    import time
+
+    def took(k):
+        began = time.process_time()
+        html.main_text("<b>" * k + "x</i>" * k + "<div>" * k + "</u>" * k + "<p>y" * k)
+        return time.process_time() - began
+
+    took(1000)
+    assert took(32_000) < 40 * max(took(2000), 0.005)
+
+
 @pytest.mark.parametrize("page", [None, "", "   ", "<", "<p", "<!-- x", "<article><p>a &am", "</p></div>", "<script>x", "<a href='", "&#0;&#xD800;", "<p>" * 3000 + "x"])
 def test_html_torn(page):
     assert isinstance(html.main_text(page), str)
@@ -175,6 +218,9 @@ def test_html_torn(page):
 def test_html_table(spark):
     df = spark.createDataFrame([(1, "u", "<article><p>Hi the\n you</p></article>", 3), (None, None, None, 4)], "page_id long, url string, html string, text int")
     assert [tuple(r) for r in html.extract(df).collect()] == [(1, "u", "Hi the you", 10), (None, None, "", 0)]
+    again = df.union(df).union(spark.createDataFrame([(7, "v", f"<article><p>{'word and the ' * 100_000}</p></article>", 1)], df.schema))
+    assert sorted(r.n_chars for r in html.extract(again).collect()) == [0, 0, 10, 10, 13 * 100_000 - 1]
+    assert html.extract(df.limit(0)).count() == 0
 
 
 # ---- 3, 5
