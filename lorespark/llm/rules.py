@@ -15,11 +15,13 @@ COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 _SYMBOL = np.zeros(256, bool)
 _SYMBOL[list(b"#*$%&|<>")] = True
 MIN_WORDS, WINDOW = 50, 3
-#: Measures: name, and the least distance of a fence from its quartile, so that groups without spread keep clean texts.
-MEASURES = {"symbols_per_word": 0.1, "chars_per_word": 2.0, "dup_lines_per_100_words": 1.0, "repeat_share": 0.15}
-#: A fence stands this many interquartile ranges beyond the quartile; groups with fewer documents use their language's
-#: sketch, and languages with fewer the sketch of all.
-FENCE, MIN_GROUP = 3.0, 200
+#: Measures, each with the scale on which its fence is set. Rates count one event and EXTRA words more than there are, so
+#: that a short text's single event is no outlier, and groups in which most texts have no event still have a spread.
+MEASURES = {"symbol_rate": "linear", "chars_per_word": "log", "dup_line_rate": "linear", "repeat_rate": "log"}
+EXTRA = 20
+#: A fence stands this many interquartile ranges beyond the quartile. Quartiles of a group are averaged with those of its
+#: language, which count as many as PRIOR documents, and these likewise with those of all.
+FENCE, PRIOR = 5.0, 100
 #: Relative error of a sketch's values: buckets are powers of (1 + A) / (1 - A).
 ACCURACY = 0.01
 
@@ -78,12 +80,12 @@ def base_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def measures() -> dict[str, Column]:
-    share = lambda c: F.try_divide(c.cast("double"), F.col("n_words"))
+    rate = lambda c: (c.cast("double") + 1) / (F.col("n_words") + EXTRA)
     return {
-        "symbols_per_word": share(F.col("n_symbols")),
-        "chars_per_word": share(F.col("word_chars")),
-        "dup_lines_per_100_words": share(100 * F.col("n_dup_lines")),
-        "repeat_share": share(F.col("n_repeat_words")),
+        "symbol_rate": rate(F.col("n_symbols")),
+        "chars_per_word": F.try_divide(F.col("word_chars").cast("double"), F.col("n_words")),
+        "dup_line_rate": rate(F.col("n_dup_lines")),
+        "repeat_rate": rate(F.col("n_repeat_words")),
     }
 
 
@@ -122,8 +124,9 @@ def quantiles(sketches: DataFrame, by: list[str], qs: tuple[float, ...]) -> Data
 def thresholds(counted: DataFrame, scratch: Scratch, lang_col: str = "lang", source_col: str = "source") -> DataFrame:
     """(lang, source, <measure>_low, <measure>_high): fences of every group that occurs.
 
-    High is q75 + max(FENCE * (q75 - q25), least distance of MEASURES); low is the same below q25, for chars_per_word
-    only. Quartiles are of documents that pass the fixed base rules.
+    Quartiles come from sketches of the documents that pass the fixed base rules, blended by weight (PRIOR), so a small
+    group leans on its language and no size switches between the two. High is q75 + FENCE * (q75 - q25), on a log scale
+    q75 * (q75 / q25) ** FENCE; low is the same below q25.
     """
     fine = scratch.save(sketch(counted.where(~base_failed()), [lang_col, source_col]), "sketches")
     mid = scratch.save(merge(fine, [lang_col]), "by-language")
@@ -134,12 +137,19 @@ def thresholds(counted: DataFrame, scratch: Scratch, lang_col: str = "lang", sou
     g = counted.select(lang_col, source_col).distinct().select(lang_col, source_col, kinds).alias("g")
     eq = lambda x, *cols: [F.col(f"g.{k}").eqNullSafe(F.col(f"{x}.{k}")) for k in (*cols, "measure")]
     j = g.join(a.alias("a"), eq("a", lang_col, source_col), "left").join(b.alias("b"), eq("b", lang_col), "left").join(c.alias("c"), eq("c"), "left")
-    enough = lambda x: F.when(F.col(f"{x}.total") >= MIN_GROUP, F.col(x))
-    q = F.coalesce(enough("a.a"), enough("b.b"), F.col("c.c"))
-    j = j.select(F.col(f"g.{lang_col}").alias(lang_col), F.col(f"g.{source_col}").alias(source_col), F.col("g.measure").alias("measure"), q.alias("q"))
-    slack = F.element_at(F.create_map(*(F.lit(x) for kv in MEASURES.items() for x in kv)), F.col("measure"))
-    reach = F.greatest(FENCE * (F.col("q.q1") - F.col("q.q0")), slack)
-    j = j.withColumn("low", F.col("q.q0") - reach).withColumn("high", F.col("q.q1") + reach)
+
+    def blended(q: str) -> Column:
+        at = F.col(f"c.c.{q}")
+        for own in ("b.b", "a.a"):
+            n = F.coalesce(F.col(f"{own}.total"), F.lit(0))
+            at = (n * F.coalesce(F.col(f"{own}.{q}"), F.lit(0.0)) + PRIOR * at) / (n + PRIOR)
+        return at
+
+    j = j.select(F.col(f"g.{lang_col}").alias(lang_col), F.col(f"g.{source_col}").alias(source_col), F.col("g.measure").alias("measure"), blended("q0").alias("q0"), blended("q1").alias("q1"))
+    log = F.element_at(F.create_map(*(x for k, v in MEASURES.items() for x in (F.lit(k), F.lit(v == "log")))), F.col("measure"))
+    ratio = F.pow(F.col("q1") / F.col("q0"), F.lit(FENCE))
+    reach = FENCE * (F.col("q1") - F.col("q0"))
+    j = j.withColumn("low", F.when(log, F.col("q0") / ratio).otherwise(F.col("q0") - reach)).withColumn("high", F.when(log, F.col("q1") * ratio).otherwise(F.col("q1") + reach))
     return j.groupBy(lang_col, source_col).agg(*(F.max(F.when(F.col("measure") == m, F.col(e))).alias(f"{m}_{e}") for m in MEASURES for e in ("low", "high")))
 
 

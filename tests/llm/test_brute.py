@@ -501,24 +501,24 @@ def test_rules(which, request):
     assert len(got) == len(rows)
     counts = {i: slow_counts(r.text) for i, r in rows.items()}
     failed = {i: c[0] < 50 or 100 * c[4] > 50 * c[0] for i, c in counts.items()}
-    measure = lambda c: (c[2] / c[0], c[1] / c[0], 100 * c[3] / c[0], c[4] / c[0])
+    measure = lambda c: ((c[2] + 1) / (c[0] + 20), c[1] / c[0], (c[3] + 1) / (c[0] + 20), (c[4] + 1) / (c[0] + 20))
     gamma = 1.01 / 0.99
 
     def quartiles(vals):
-        b = sorted(math.ceil(round(math.log(v) / math.log(gamma), 6)) if v > 0 else -(10**6) for v in vals)
-        pick = lambda q: b[max(0, math.ceil(q * len(b)) - 1)]
-        return [0.0 if (k := pick(q)) == -(10**6) else 2 * gamma**k / (gamma + 1) for q in (0.25, 0.75)]
+        b = sorted(math.ceil(round(math.log(v) / math.log(gamma), 6)) for v in vals)
+        return [2 * gamma ** b[max(0, math.ceil(q * len(b)) - 1)] / (gamma + 1) for q in (0.25, 0.75)] if b else [0, 0]
 
     def fences(i):
         r = rows[i]
-        sets = [[j for j in rows if (rows[j].lang, rows[j].source) == (r.lang, r.source)], [j for j in rows if rows[j].lang == r.lang], list(rows)]
+        sets = [list(rows), [j for j in rows if rows[j].lang == r.lang], [j for j in rows if (rows[j].lang, rows[j].source) == (r.lang, r.source)]]
         sets = [[j for j in s if not failed[j]] for s in sets]
-        use = next((s for s in sets[:2] if len(s) >= rules.MIN_GROUP), sets[2])
         out = []
-        for k, slack in enumerate(rules.MEASURES.values()):
-            lo, hi = quartiles([measure(counts[j])[k] for j in use])
-            reach = max(rules.FENCE * (hi - lo), slack)
-            out.append((lo - reach, hi + reach))
+        for k in range(4):
+            lo, hi = quartiles([measure(counts[j])[k] for j in sets[0]])
+            for s in sets[1:]:
+                a, b = quartiles([measure(counts[j])[k] for j in s])
+                lo, hi = (len(s) * a + 100 * lo) / (len(s) + 100), (len(s) * b + 100 * hi) / (len(s) + 100)
+            out.append((lo * (lo / hi) ** 5, hi * (hi / lo) ** 5) if k in (1, 3) else (lo - 5 * (hi - lo), hi + 5 * (hi - lo)))
         return out
 
     for i, r in got.items():
@@ -532,6 +532,21 @@ def test_rules(which, request):
     assert np.mean([r.kept for r in got.values() if not r.base_failed]) > 0.8
 
 
+def test_rules_adapt_to_a_source(spark):
+    """Formulas are the rule in one source, and an outlier in the other; a small source leans on its language."""
+    r = random.Random(12)
+    vocab = ["".join(r.choice("abcdefgh") for _ in range(r.randint(2, 8))) for _ in range(3000)]
+    text = lambda share: " ".join(r.choice(vocab) + ("$" if r.random() < share else "") for _ in range(r.randint(60, 400)))
+    rows = [(i, text(0.0), "en", "news") for i in range(600)] + [(1000 + i, text(r.uniform(0.1, 0.3)), "en", "maths") for i in range(600)]
+    rows += [(2000, text(0.2), "en", "news"), (2001, text(0.2), "en", "maths"), (2002, "", "en", None), (2003, None, None, None), (None, text(0.0), "en", "news")]
+    df = spark.createDataFrame(rows, SCHEMA).withColumn("n_words", F.lit("x"))
+    out = rules.judge(df).collect()
+    kept = {r.doc_id: r.kept for r in out}
+    assert len(out) == len(rows) and kept[None] and not kept[2000] and kept[2001] and not kept[2002] and not kept[2003]
+    assert sum(kept[i] for i in range(600)) > 590 and sum(kept[1000 + i] for i in range(600)) > 590
+    assert rules.judge(df.limit(0)).count() == 0
+
+
 # ---- 9
 
 
