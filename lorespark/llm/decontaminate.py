@@ -3,18 +3,17 @@
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lorespark.llm.common import pack, small_batches, unpack
+from lorespark.llm.common import Scratch, pack, small_batches, unpack, with_uid
 
 #: Edits allowed for each character of a test item, after normalisation.
 ERROR_RATE = 0.1
-#: Items shorter than this (normalised) must match exactly and at word borders.
-MIN_CHARS = 24
 #: Characters of test items that one pass broadcasts; longer sets go in several passes, in blocks.
 BLOCK_CHARS = 4_000_000
 _NOISE = re.compile(r"[\W_]+")
@@ -25,8 +24,9 @@ def normalise(text: str | None) -> str:
     return f" {_NOISE.sub(' ', (text or '').lower()).strip()} "
 
 
-def budget(n: int, rate: float = ERROR_RATE, min_chars: int = MIN_CHARS) -> int:
-    return int(n * rate) if n >= min_chars else 0
+def budget(n: int, rate: float = ERROR_RATE) -> int:
+    """Edits allowed for an item of n characters. Without any, it must stand at word borders."""
+    return int(n * rate)
 
 
 class Peq:
@@ -75,7 +75,7 @@ class Matcher:
     that pass are verified with Myers' distance over the piece's surroundings.
     """
 
-    def __init__(self, items: list[tuple[int, str]], rate: float = ERROR_RATE) -> None:
+    def __init__(self, items: list[tuple[str, str]], rate: float = ERROR_RATE) -> None:
         import ahocorasick
 
         self.items, self.peq, self.k, where = [], [], [], {}
@@ -107,13 +107,13 @@ class Matcher:
         if where:
             self.machine.make_automaton()
 
-    def find(self, text: str | None) -> dict[int, int]:
+    def find(self, text: str | None) -> dict[str, int]:
         """Item ids to their least distance, for the items that occur within their budget."""
         if self.empty or not text:
             return {}
         t = normalise(text)
         best: dict[int, int] = {}
-        tried: dict[int, int] = {}  # item to the end of the last window that was verified in vain
+        tried: dict[int, int] = {}  # item to the last place that was verified: its pieces share it
         for end, (size, uses) in self.machine.iter(t):
             at = end + 1 - size
             for i, off, other, shift, _ in uses:
@@ -129,53 +129,82 @@ class Matcher:
                 if not (x in t[max(0, o - 1) : o + h + 1] or y in t[max(0, o + h - 1) : o + len(other) + 1]):
                     continue
                 start, stop = max(0, at - off - k), at - off + len(self.items[i][1]) + k
-                if tried.get(i, -1) >= stop:
+                if tried.get(i) == at - off:
                     continue
+                tried[i] = at - off
                 got, _ = self.peq[i].best(t[start:stop], k)
                 if got <= k:
                     best[i] = min(got, best.get(i, got))
-        return {self.items[i][0]: d for i, d in best.items()}
+        least: dict[str, int] = {}
+        for i, d in best.items():  # several texts may share an id
+            item = self.items[i][0]
+            least[item] = min(d, least.get(item, d))
+        return least
+
+
+_matchers: dict[str, Matcher] = {}
+
+
+def _matcher(token: str, items: list[tuple[str, str]], rate: float) -> Matcher:
+    """One matcher for each worker process: that of the block at work."""
+    if token not in _matchers:
+        _matchers.clear()
+        _matchers[token] = Matcher(items, rate)
+    return _matchers[token]
 
 
 def matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", rate: float = ERROR_RATE, block_chars: int = BLOCK_CHARS, keep: bool = False) -> DataFrame:
     """(id_col, item_ids, distances): test items within rate * length edits in each whole document.
 
-    With keep, docs' own columns and those two. Test items are read in blocks of a checked size: one block is one
-    pass without a shuffle; more blocks are more passes over the same texts. Items that are null or hold no letter
-    or digit match nothing; equal items all match; null texts hold none. Null item ids are left out.
+    With keep, docs' own columns and those two. Test items are read in blocks of a checked size: one block is one pass
+    without a shuffle; of more blocks each is a pass of its own, whose few matches are written, and one join brings
+    them together, so no worker holds more than one block. item_ids have the benchmark's type and order; where one id
+    has several texts the least distance counts. Items that are null or hold no letter or digit match nothing; equal
+    items all match; null texts hold none. Null item ids are left out. Repeated and null document ids keep their rows.
     """
     spark = docs.sparkSession
     small_batches(spark)
-    usable = benchmark.where(F.col(item_col).isNotNull() & F.col(item_text_col).isNotNull()).select(F.col(item_col).cast("long").alias("i"), F.col(item_text_col).cast("string").alias("t")).distinct()
+    kind = benchmark.schema[item_col].dataType
+    usable = benchmark.where(F.col(item_col).isNotNull() & F.col(item_text_col).isNotNull()).select(F.col(item_col).cast("string").alias("i"), F.col(item_text_col).cast("string").alias("t")).distinct()
     total = usable.agg(F.sum(F.length("t"))).first()[0] or 0
     n = max(1, -(-total // block_chars))
-    out, lists = pack(docs, id_col, text_col), []
+    out = pack(docs, id_col, text_col)
     if not keep:
         out = out.drop("rest")
-    for b in range(n):
-        items = sorted((r.i, r.t) for r in usable.where(F.pmod(F.xxhash64("i", "t"), F.lit(n)) == b).toLocalIterator())
-        name = f"_m{b}"
-        out = _find(out, items, "text", name, rate)
-        lists.append(F.col(name))
-    merged = F.array_sort(F.concat(*lists))
-    ids, dist = F.transform(merged, lambda x: x["item"]).alias("item_ids"), F.transform(merged, lambda x: x["distance"]).alias("distances")
+    block = lambda b: sorted((r.i, r.t) for r in usable.where(F.pmod(F.xxhash64("i", "t"), F.lit(n)) == b).toLocalIterator())
+    if n == 1:
+        out = _find(out, block(0), "text", rate).withColumnRenamed("_m", "_all")
+    else:
+        scratch = Scratch(spark, "leaks")
+        out = with_uid(out)
+        found = None
+        for b in range(n):
+            part = _find(out.select("uid", "text"), block(b), "text", rate).where(F.size("_m") > 0).select("uid", F.explode("_m").alias("_e"))
+            part = scratch.save(part.select("uid", F.col("_e.item").alias("item"), F.col("_e.distance").alias("distance")), "block")
+            found = part if found is None else found.union(part)
+        least = found.groupBy("uid", "item").agg(F.min("distance").alias("distance"))
+        lists = scratch.save(least.groupBy("uid").agg(F.collect_list(F.struct("item", "distance")).alias("_all")), "found")
+        out = out.join(lists, "uid", "left").drop("uid").withColumn("_all", F.coalesce("_all", F.array().cast("array<struct<item:string,distance:bigint>>")))
+    ordered = F.array_sort(F.transform("_all", lambda x: F.struct(x["item"].cast(kind).alias("item"), x["distance"].alias("distance"))))
+    out = out.withColumn("_all", ordered)
+    ids, dist = F.col("_all.item").alias("item_ids"), F.col("_all.distance").alias("distances")
     return unpack(out, docs, text_col, ids, dist) if keep else out.select(F.col("doc_id").alias(id_col), ids, dist)
 
 
-def _find(docs: DataFrame, items: list[tuple[int, str]], text_col: str, name: str, rate: float) -> DataFrame:
+def _find(docs: DataFrame, items: list[tuple[str, str]], text_col: str, rate: float) -> DataFrame:
     from pyspark.sql import types as T
 
-    kind = T.ArrayType(T.StructType([T.StructField("item", T.LongType()), T.StructField("distance", T.LongType())]))
-    arrow = pa.list_(pa.struct([("item", pa.int64()), ("distance", pa.int64())]))
-    sent = docs.sparkSession.sparkContext.broadcast(items)
+    kind = T.ArrayType(T.StructType([T.StructField("item", T.StringType()), T.StructField("distance", T.LongType())]))
+    arrow = pa.list_(pa.struct([("item", pa.string()), ("distance", pa.int64())]))
+    sent, token = docs.sparkSession.sparkContext.broadcast(items), uuid.uuid4().hex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = Matcher(sent.value, rate)
+        m = _matcher(token, sent.value, rate)
         for b in batches:
             found = [[{"item": i, "distance": d} for i, d in m.find(t.as_py()).items()] for t in b.column(b.num_columns - 1)]
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(found, arrow)], names=[*b.schema.names[:-1], name])
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(found, arrow)], names=[*b.schema.names[:-1], "_m"])
 
-    return docs.withColumn("_t", F.col(text_col).cast("string")).mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(name, kind)]))
+    return docs.withColumn("_t", F.col(text_col).cast("string")).mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("_m", kind)]))
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, **kw) -> DataFrame:

@@ -6,11 +6,12 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lorespark.llm.common import pack, small_batches, unpack
+from lorespark.llm.common import Scratch, pack, small_batches, unpack
 from lorespark.llm.html import STOP_WORDS
 
 #: The fit's bounded sample, by hash of the id: trusted positives and unlabelled texts.
@@ -93,8 +94,8 @@ class Featurizer:
         rates = np.column_stack([f[:, :-1], fresh, same, again])
         mean = rates.mean(0)
         total = np.concatenate([np.zeros((1, rates.shape[1])), np.cumsum(rates, 0, dtype=np.float64)])
-        starts = np.arange(0, max(1, n - SPAN + 1), SPAN // 2)
         width = min(SPAN, n)
+        starts = np.append(np.arange(0, n - width, SPAN // 2), n - width)  # the last span ends at the last word
         spans = (total[starts + width] - total[starts]) / width
         lines = (text or "").split("\n")
         shapes = np.sqrt(np.bincount(f[:, -1].astype(np.int64), minlength=SHAPES) / n)
@@ -127,16 +128,19 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(logit, -30, 30)))
 
 
-def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float, seed: int = SEED) -> Model:
+def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float | None, seed: int = SEED, moments: tuple[np.ndarray, np.ndarray] | None = None, epochs: int = EPOCHS) -> Model:
     """Minimise the non-negative unbiased risk  prior * E_p[l(g)] + max(0, E_u[l(-g)] - prior * E_p[l(-g)]).
 
     l is the logistic loss. Where a batch's estimate of the negative part falls below 0 the step goes against it,
     as the non-negative estimator prescribes, so the network cannot explain trusted positives by fitting noise.
+    Features are standardised by ``moments`` (mean, deviation), else by those of the unlabelled sample. With a prior of
+    None the loss is  E_p[l(g)] + E_u[l(-g)],  whose minimum is the log of p(x | positive) / p(x): see ``estimate_prior``.
     """
     if not len(positive) or not len(unlabelled):
-        return Model(prior)
+        return Model(0.5 if prior is None else prior)
     rng = np.random.default_rng(seed)
-    mean, scale = unlabelled.mean(0), unlabelled.std(0) + 0.02
+    mean, scale = moments or (unlabelled.mean(0), unlabelled.std(0))
+    scale = scale + 0.02
     prep = lambda x: np.clip((x - mean) / scale, -8, 8).astype(np.float64)
     xp, xu = prep(positive), prep(unlabelled)
     d = xp.shape[1]
@@ -146,7 +150,7 @@ def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float, seed: int =
     soft = lambda z: np.logaddexp(0, z)
     avg = [p.copy() for p in params]
     kept = 0
-    for epoch in range(EPOCHS):
+    for epoch in range(epochs):
         ps, us = np.array_split(rng.permutation(len(xp)), BATCHES), np.array_split(rng.permutation(len(xu)), BATCHES)
         for bp, bu in zip(ps, us, strict=True):
             if not len(bp) or not len(bu):
@@ -155,8 +159,9 @@ def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float, seed: int =
             h = np.tanh(x @ params[0] + params[1])
             g = h @ params[2] + params[3]
             gp, gu = g[: len(bp)], g[len(bp) :]
-            negative = soft(gu).mean() - prior * soft(gp).mean()
-            if negative >= 0:
+            if prior is None:
+                dp, du = -sigmoid(-gp) / len(bp), sigmoid(gu) / len(bu)
+            elif soft(gu).mean() - prior * soft(gp).mean() >= 0:
                 dp = (prior * -sigmoid(-gp) - prior * sigmoid(gp)) / len(bp)
                 du = sigmoid(gu) / len(bu)
             else:
@@ -169,11 +174,32 @@ def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float, seed: int =
                 m[i] = 0.9 * m[i] + 0.1 * gr
                 v[i] = 0.999 * v[i] + 0.001 * gr * gr
                 params[i] = params[i] - RATE * (m[i] / (1 - 0.9**t)) / (np.sqrt(v[i] / (1 - 0.999**t)) + 1e-8)
-        if epoch >= EPOCHS // 2:  # the mean of the later steps varies less than the last
+        if epoch >= epochs // 2:  # the mean of the later steps varies less than the last
             kept += 1
             avg = [a + (p - a) / kept for a, p in zip(avg, params, strict=True)]
     w1, b1, w2, b2 = avg
-    return Model(prior, mean, scale, w1, b1, w2, float(b2[0]))
+    return Model(0.5 if prior is None else prior, mean, scale, w1, b1, w2, float(b2[0]))
+
+
+def estimate_prior(positive: np.ndarray, unlabelled: np.ndarray, moments: tuple[np.ndarray, np.ndarray] | None = None) -> float:
+    """Share of positives among unlabelled texts, from the two samples alone.
+
+    A ranking of p(x | positive) / p(x) is fitted on either half of both samples and read at the other half. Of the
+    unlabelled, a share q_u lies above a threshold, of the positives q_p; the prior is at most q_u / q_p, and equal to
+    it where only positives lie above. So the least such ratio is taken, at the threshold where ratio and its margin
+    of error (that of two empirical distributions at 90 %) are least together.
+    """
+    if len(positive) < 20 or len(unlabelled) < 20:
+        return 0.5
+    found = []
+    for k in range(2):
+        m = fit(positive[k::2], unlabelled[k::2], None, moments=moments, epochs=EPOCHS // 6)
+        p, u = np.sort(m.score(positive[1 - k :: 2])), np.sort(m.score(unlabelled[1 - k :: 2]))
+        qp = 1 - np.arange(len(p)) / len(p)  # share at or above each positive's score
+        qu = 1 - np.searchsorted(u, p, "left") / len(u)
+        margin = (np.sqrt(np.log(40) / 2 / len(p)) + np.sqrt(np.log(40) / 2 / len(u))) / qp
+        found.append((qu / qp)[np.argmin(qu / qp + margin)])
+    return float(np.clip(np.mean(found), 0.02, 0.98))
 
 
 def held_out(id_col: str = "doc_id"):
@@ -181,78 +207,94 @@ def held_out(id_col: str = "doc_id"):
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", max_positive: int = MAX_POSITIVE, max_unlabelled: int = MAX_UNLABELLED) -> Model:
-    """Fit on a bounded sample of the rows that aren't held out.
+def features(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """docs with ``_x``, the features of each whole text as float32 bytes: one narrow pass."""
+    small_batches(docs.sparkSession)
+
+    @F.pandas_udf("binary")
+    def read(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        feats = Featurizer()
+        for texts in batches:
+            yield pd.Series([feats(t).tobytes() for t in texts], dtype=object)
+
+    return docs.withColumn("_x", read(F.col(text_col).cast("string")))
+
+
+def moments_of(read: DataFrame, id_col: str) -> tuple[np.ndarray, np.ndarray] | None:
+    """Mean and deviation of each feature over all rows that aren't held out: sums of batches, then of 32 groups of them."""
+    d = Featurizer.size()
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(1 + 2 * d)
+        for b in batches:
+            if b.schema.names == ["_s"]:
+                x = np.frombuffer(b"".join(b.column(0).to_pylist()), np.float64).reshape(-1, 1 + 2 * d)
+                total += x.sum(0)
+            else:
+                x = np.frombuffer(b"".join(b.column(0).to_pylist()), np.float32).reshape(-1, d).astype(np.float64)
+                total += np.concatenate([[len(x)], x.sum(0), (x * x).sum(0)])
+        yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["_s"])
+
+    parts = read.where(~held_out(id_col)).select("_x").mapInArrow(add, "_s binary").repartition(32).mapInArrow(add, "_s binary").toArrow()
+    total = sum((np.frombuffer(x, np.float64) for x in parts["_s"].to_pylist()), np.zeros(1 + 2 * d))
+    if not total[0]:
+        return None
+    mean = total[1 : 1 + d] / total[0]
+    return mean, np.sqrt(np.maximum(total[1 + d :] / total[0] - mean * mean, 0))
+
+
+def train(read: DataFrame, labels: DataFrame, id_col: str = "doc_id", label_col: str = "quality", max_positive: int = MAX_POSITIVE, max_unlabelled: int = MAX_UNLABELLED) -> Model:
+    """Fit on a bounded sample of the rows of ``read`` (id_col, _x) that aren't held out.
 
     Trusted positives are documents labelled 1 (all labels, if several); unlabelled texts are any, their labels not
-    looked at. The class prior is the share of label 1 among the same fold's labels, or where all are 1, the mean
-    score that a first fit with prior 0.5 gives unlabelled texts over that which it gives positives. Both samples are
-    the first by hash of the id, so reruns agree; both are at most the given numbers of rows, whatever the input.
+    looked at, and no label 0 is. The class prior is estimated from the two samples (``estimate_prior``); features are
+    standardised by moments of all rows. Both samples are the first ids by hash, so reruns agree; an id on many rows
+    counts once, as its least features, so at most the two given numbers of rows reach the driver, whatever the input.
     """
-    spark = docs.sparkSession
-    small_batches(spark)
-    docs = docs.select(F.col(id_col), F.col(text_col))
+    spark = read.sparkSession
     marks = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("_id")).agg(F.min(label_col).alias("_y"))
-    fold = marks.where(~held_out("_id"))
-    n, ones = fold.agg(F.count(F.lit(1)), F.coalesce(F.sum((F.col("_y") == 1).cast("long")), F.lit(0))).first()
     order = F.xxhash64(F.lit(SEED), F.col("_id").cast("string"))
-    pos = fold.where("_y = 1").select("_id", order.alias("_o")).orderBy("_o", "_id").limit(max_positive).select("_id", F.lit(True).alias("_pos"))
-    ids = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("_id")).where(~held_out("_id"))
+    pos = marks.where(~held_out("_id") & (F.col("_y") == 1)).select("_id", order.alias("_o")).orderBy("_o", "_id").limit(max_positive).select("_id", F.lit(True).alias("_pos"))
+    ids = read.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("_id")).where(~held_out("_id")).distinct()
     unl = ids.select("_id", order.alias("_o")).orderBy("_o", "_id").limit(max_unlabelled).select("_id", F.lit(False).alias("_pos"))
-    # a bounded list of ids, so a broadcast; texts of other documents never reach Python
     wanted = spark.createDataFrame(pos.union(unl).groupBy("_id").agg(F.max("_pos").alias("_p"), F.min("_pos").alias("_q")).toArrow())
-    rows = docs.join(F.broadcast(wanted), F.col(id_col) == F.col("_id")).select(F.col("_id").cast("string").alias("_k"), "_p", "_q", F.col(text_col).cast("string").alias("_t"))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        feats = Featurizer()
-        for b in batches:
-            x = [feats(t.as_py()).tobytes() for t in b.column(3)]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(x, pa.binary())], names=["_k", "_p", "_q", "_x"])
-
-    got = rows.mapInArrow(run, "_k string, _p boolean, _q boolean, _x binary").toArrow().combine_chunks().sort_by([("_k", "ascending"), ("_x", "ascending")])
+    rows = read.join(F.broadcast(wanted), F.col(id_col) == F.col("_id"))  # a bounded list of ids, so a broadcast
+    got = rows.groupBy(F.col("_id").cast("string").alias("_k"), "_p", "_q").agg(F.min("_x").alias("_x")).toArrow().combine_chunks().sort_by("_k")
     d = Featurizer.size()
     x = np.frombuffer(b"".join(got["_x"].to_pylist()), np.float32).reshape(-1, d)
     p, q = np.array(got["_p"].to_pylist(), bool), np.array(got["_q"].to_pylist(), bool)
     xp, xu = x[p], x[~q]
-    if not n or not ones:
+    if not len(xp):
         return Model(0.5)
-    if ones < n:
-        prior = float(ones) / n
-    else:
-        first = fit(xp, xu, 0.5)
-        prior = float(np.clip(first.score(xu).mean() / max(first.score(xp).mean(), 1e-6), 0.05, 0.99))
-    return fit(xp, xu, prior)
-
-
-def score(docs: DataFrame, model: Model, text_col: str = "text", out: str = "score") -> DataFrame:
-    """docs with a score from 0 to 1, by one pass; the model is a few dozen kB."""
-    small_batches(docs.sparkSession)
-    schema = docs.withColumn("_t", F.col(text_col).cast("string"))
+    moments = moments_of(read, id_col)
+    return fit(xp, xu, estimate_prior(xp, xu, moments), moments=moments)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        feats = Featurizer()
-        for b in batches:
-            x = np.stack([feats(t.as_py()) for t in b.column(b.num_columns - 1)]) if b.num_rows else np.zeros((0, Featurizer.size()), np.float32)
-            y = model.score(x).astype(np.float64)
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(y)], names=[*b.schema.names[:-1], out])
 
-    from pyspark.sql import types as T
+def score(read: DataFrame, model: Model, out: str = "score") -> DataFrame:
+    """read with a score from 0 to 1 of its ``_x``; the model is a few dozen kB."""
+    @F.pandas_udf("double")
+    def run(x: pd.Series) -> pd.Series:
+        return pd.Series(model.score(np.frombuffer(b"".join(x), np.float32).reshape(-1, Featurizer.size())).astype(np.float64))
 
-    return schema.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(out, T.DoubleType())]))
+    return read.withColumn(out, run("_x"))
 
 
 def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> DataFrame:
     """(id_col, held_out, score, predicted) of every document.
 
     A score depends on the text alone; equal texts score alike, null and empty ones as a text without words. Without
-    usable labels every score is 0.5. Null ids and repeated rows are scored like any other row.
+    usable labels every score is 0.5. Null ids and repeated rows are scored like any other row. Features are read once
+    and written (some 400 bytes a document); fit, moments and scores all start from there.
     """
-    model = train(docs, labels, id_col, text_col, label_col)
-    scored = score(docs.select(id_col, text_col), model, text_col)
+    scratch = Scratch(docs.sparkSession, "quality")
+    read = scratch.save(features(docs.select(id_col, text_col), text_col).select(id_col, "_x"), "features")
+    scored = score(read, train(read, labels, id_col, label_col))
     return scored.select(id_col, held_out(id_col).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
 def filter_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> DataFrame:
-    """Documents with a score of 0.5 or more, all columns; one pass over the texts, no shuffle."""
-    model = train(docs, labels, id_col, text_col, label_col)
-    return unpack(score(pack(docs, id_col, text_col), model).where(F.col("score") >= 0.5), docs, text_col)
+    """Documents with a score of 0.5 or more, all columns: written once with their features, then scored without a shuffle."""
+    scratch = Scratch(docs.sparkSession, "quality")
+    read = scratch.save(features(pack(docs, id_col, text_col)), "features")
+    model = train(read.select("doc_id", "_x"), labels.withColumnRenamed(id_col, "doc_id"), "doc_id", label_col)
+    return unpack(score(read, model, "_score").where(F.col("_score") >= 0.5), docs, text_col)

@@ -299,6 +299,43 @@ def test_quality_edges(spark, docs):
     assert quality.classify(docs.limit(0), lab).count() == 0
 
 
+def test_quality_of_repeated_ids_and_long_texts(spark):
+    """An id on many rows counts once in the sample, whatever its texts."""
+    r = random.Random(1)
+    prose = lambda: " ".join(r.choice(["the", "of", "and", "house", "river", "walked", "slowly", "to"]) for _ in range(r.randint(40, 90)))
+    junk = lambda: " ".join(r.choice(["$$$", "a|b", "###", "99%"]) for _ in range(r.randint(40, 90)))
+    rows = [(7, prose()) for _ in range(3000)] + [(100 + i, junk() if i % 4 == 0 else prose()) for i in range(400)] + [(None, junk()), (9, prose() * 3000), (8, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    lab = spark.createDataFrame([(100 + i, int(i % 4 != 0), 0) for i in range(0, 400, 3)], "doc_id long, quality int, toxic int")
+    out = quality.classify(df, lab).collect()
+    assert len(out) == len(rows) and len({x.score for x in out if x.doc_id == 8}) == 1
+    good = {x.doc_id: x.predicted for x in out}
+    right = [good[100 + i] == (i % 4 != 0) for i in range(400)]
+    assert sum(right) > 390 and good[9] == 1 and good[None] == 0
+
+
+def test_prior_is_estimated():
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    d = quality.Featurizer.size()
+    for prior in (0.3, 0.6, 0.9):
+        n = 4000
+        is_pos = rng.random(n) < prior
+        x = rng.normal(0, 1, (n, d)).astype(np.float32)
+        x[:, :3] += np.where(is_pos, 2.5, -2.5)[:, None]
+        p = rng.normal(0, 1, (1500, d)).astype(np.float32)
+        p[:, :3] += 2.5
+        assert abs(quality.estimate_prior(p, x) - prior) < 0.05
+
+
+def test_last_words_are_in_a_span():
+    import numpy as np
+
+    f = quality.Featurizer()
+    assert not np.array_equal(f("the house " * 20 + "of it " * 9 + "a")[11:33], f("the house " * 20 + "of it " * 4 + "$$$ " * 10 + "###")[11:33])
+
+
 # ---- 6
 
 
@@ -572,7 +609,7 @@ def test_decontamination_matches_brute_force(spark):
     r = random.Random(9)
     vocab = ["".join(r.choice("abcdefghij") for _ in range(r.randint(2, 8))) for _ in range(400)]
     say = lambda n: " ".join(r.choice(vocab) for _ in range(n))
-    items = [(i, say(r.randint(5, 25)).capitalize() + ".") for i in range(12)] + [(50, "tiny one"), (51, None), (52, "..."), (53, "")]
+    items = [(i, say(r.randint(5, 25)).capitalize() + ".") for i in range(12)] + [(50, "tiny one"), (51, None), (52, "..."), (53, ""), (54, "abcdefghij klm"), (55, "some short item of it")]
     rows = []
     for d in range(60):
         t = say(20)
@@ -583,7 +620,7 @@ def test_decontamination_matches_brute_force(spark):
                 x[k : k + 1] = r.choice([[], [r.choice("abcdefghij")], [x[k], r.choice("abcdefghij")]])
             t += "\n" + "".join(x).upper() + " " + say(10)
         rows.append((d, t))
-    rows += [(100, "A tiny\n one, here"), (101, "atiny one"), (102, None), (103, "")]
+    rows += [(100, "A tiny\n one, here"), (101, "atiny one"), (102, None), (103, ""), (104, "say abcdefghj klm"), (105, "say abcdefgh klm"), (106, "so shrt item of itt"), (107, "sme shrt itm of itt")]
     got = {x.doc_id: dict(zip(x.item_ids, x.distances, strict=True)) for x in decontaminate.matches(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()}
     want = {}
     for d, t in rows:
@@ -602,6 +639,20 @@ def test_decontamination_matches_brute_force(spark):
     assert {x.doc_id: dict(zip(x.item_ids, x.distances, strict=True)) for x in blocks.collect()} == want
 
 
+@pytest.mark.parametrize("block", [10**6, 60])
+def test_decontamination_by_odd_ids(spark, block):
+    say = "the capital of the land was moved to the old town on the river"
+    items = [("x-1", "nothing like it in any of these texts at all"), ("x-2", say), ("x-2", say[:-5] + "rivor"), (None, say), ("x-10", say.replace("land", "lend"))]
+    bench = spark.createDataFrame(items, "item_id string, text string")
+    rows = [(None, say), (None, f"so {say} so"), (3, "clean"), (3, say.upper()), (3, None), (9, "long " * 200_000 + say)]
+    found = decontaminate.matches(spark.createDataFrame(rows, "doc_id long, text string").withColumn("item_ids", F.lit(0)).withColumn("uid", F.lit(0)), bench, keep=True, block_chars=block)
+    assert found.columns == ["doc_id", "text", "item_ids", "uid", "item_ids", "distances"]
+    got = sorted((len(r[1] or ""), r[4], r[5]) for r in found.collect())
+    hit = (["x-10", "x-2"], [1, 0])
+    assert got == [(0, [], []), (5, [], []), (len(say), *hit), (len(say), *hit), (len(say) + 6, *hit), (10**6 + len(say), *hit)]
+    assert decontaminate.contaminated(spark.createDataFrame([], "doc_id long, text string"), bench).count() == 0
+
+
 def test_decontaminate_keeps_columns(spark, real):
     bench = spark.read.parquet(f"{SF}/benchmark.parquet")
     df = real.withColumn("item_ids", F.lit(1)).withColumn("REST", F.lit(2))
