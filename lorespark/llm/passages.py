@@ -138,14 +138,43 @@ def _postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(c), pa.array(uid[text]), pa.array(at.astype(np.int32)), pa.array(left.astype(np.int16)), pa.array(right.astype(np.int16))], names=["h", "c", "uid", "at", "l", "r"])
 
 
+def previous_smaller(pos: np.ndarray, lcp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each place i of a suffix order, the nearest place before it with a smaller position (-1: none), and the
+    length that suffix has in common with i: the least of lcp (lcp[i]: place i with i - 1) over (that place, i].
+
+    All places jump at once: what lies between i and its candidate is never smaller, so a candidate that is too large
+    hands on its own candidate, and chains halve with every round.
+    """
+    at = np.arange(-1, len(pos) - 1)
+    common = lcp.copy()
+    todo = np.flatnonzero(pos[at] > pos)
+    todo = todo[todo > 0]
+    while todo.size:
+        j = at[todo]
+        common[todo] = np.minimum(common[todo], common[j])
+        at[todo] = at[j]
+        j = at[todo]
+        todo = todo[(j >= 0) & (pos[j] > pos[todo])]
+    common[at < 0] = 0
+    return at, common
+
+
+def longest_previous(pos: np.ndarray, lcp: np.ndarray) -> np.ndarray:
+    """The longest-previous-factor array in suffix order: for each place, how long a prefix its suffix shares with one of a
+    smaller position. The best lies at the previous or the next smaller position."""
+    before = previous_smaller(pos, lcp)[1]
+    after = previous_smaller(pos[::-1], np.concatenate([lcp[:1] * 0, lcp[:0:-1]]))[1][::-1]
+    return np.maximum(before, after)
+
+
 def later_windows(group: np.ndarray, low: np.ndarray, high: np.ndarray, left: np.ndarray, right: np.ndarray, contexts: list[bytes]) -> np.ndarray:
     """Which strings around aligned anchors also occur earlier: a mask of rows by starts (column REACH - d: d bytes
     before the anchor), for rows of a group in text order.
 
     The suffix order of all contexts, to a depth of LENGTH, by doubling ranks; a suffix is told apart by its group
-    and column, so that only strings at the same place of the same group can be equal. In this order strings whose
-    common prefix is LENGTH or more stand together, by position; the longest previous factor reaches LENGTH exactly
-    where such a run holds a previous smaller position, which is anywhere but at its head.
+    and column, so that only strings at the same place of the same group can have a prefix in common. Common prefixes
+    of neighbours in that order are read off the ranks of 64, 32, ... 4 bytes, and a string goes where its longest
+    previous factor (``longest_previous``) reaches LENGTH.
     """
     n = len(contexts)
     m = np.zeros((n, SPAN), np.uint8)
@@ -156,8 +185,9 @@ def later_windows(group: np.ndarray, low: np.ndarray, high: np.ndarray, left: np
     four = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(m, 4, axis=1)).view("<u4")[:, :, 0].astype(np.int64)
     place = group.astype(np.int64)[:, None] * SPAN + np.arange(four.shape[1])
     rank = np.unique(place << 32 | four, return_inverse=True)[1].reshape(four.shape)
-    size = 4
+    size, levels = 4, []
     while size < LENGTH:
+        levels.append((size, rank.astype(np.int32)))
         step = min(size, LENGTH - size)
         k = rank.shape[1] - step
         rank = np.unique(rank[:, :k] * (rank.max() + 1) + rank[:, step : step + k], return_inverse=True)[1].reshape(n, k)
@@ -165,9 +195,18 @@ def later_windows(group: np.ndarray, low: np.ndarray, high: np.ndarray, left: np
     rows, starts = np.nonzero(ok)  # row by row, so in text order within a rank
     key = rank[rows, starts]
     order = np.argsort(key, kind="stable")
-    again = np.zeros(len(key), bool)
-    again[order[1:]] = key[order[1:]] == key[order[:-1]]
+    rows, starts, key = rows[order], starts[order], key[order]
+    lcp = np.zeros(len(key), np.int32)
+    same = np.zeros(len(key), bool)
+    same[1:] = key[1:] == key[:-1]
+    lcp[same] = LENGTH
+    near = np.flatnonzero(~same[1:] & (starts[1:] == starts[:-1])) + 1  # neighbours that part before LENGTH
+    for size, r in reversed(levels):
+        fit = near[lcp[near] + size <= LENGTH]
+        at = starts[fit] + lcp[fit]
+        lcp[fit[r[rows[fit], at] == r[rows[fit - 1], at]]] += size
     out = np.zeros((n, STARTS), bool)
+    again = longest_previous(rows, lcp) >= LENGTH  # a row's number is its position
     out[rows[again], starts[again]] = True
     return out
 

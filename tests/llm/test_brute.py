@@ -710,12 +710,29 @@ def test_anchor_steps_agree(monkeypatch):
         assert all(any(s <= p <= s + 76 for p in places[t]) for s in range(len(b) - 99))
 
 
+def test_longest_previous_factors():
+    """Of a plain text, by its suffix array and by definition."""
+    import numpy as np
+
+    r = random.Random(4)
+    for n in (0, 1, 2, 7, 60):
+        for _ in range(30):
+            t = "".join(r.choice("ab") for _ in range(n))
+            sa = sorted(range(n), key=lambda i: t[i:])
+            pre = lambda i, j: next((k for k in range(n) if t[i + k : i + k + 1] != t[j + k : j + k + 1] or i + k >= n or j + k >= n), n)
+            lcp = [0] + [pre(i, j) for i, j in zip(sa, sa[1:], strict=False)]
+            got = passages.longest_previous(np.array(sa, np.int64), np.array(lcp[:n], np.int32))
+            assert [int(x) for x in got] == [max((pre(i, j) for j in range(i)), default=0) for i in sa]
+
+
 def test_passages_edges(spark):
     long = "the quick brown fox jumps over the lazy dog and runs away from all of them in the night of the day 0123456789"
     rows = [(5, long + " end"), (5, long + " end"), (5, "start " + long), (None, long), (9, None)]
     got = sorted((r.doc_id or -1, r.n_removed) for r in passages.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect())
     assert [g for g in got if g[0] == 9] == [(9, 0)] and len(got) == 5 and got[0] == (-1, 0)
     assert passages.remove_repeats(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+    clash = spark.createDataFrame([(1, long * 2000, 1, 2, 3), (2, long, 1, 2, 3)], "doc_id long, text string, uid int, t int, spans int")
+    assert [r.n_removed for r in passages.remove_repeats(clash).orderBy("doc_id").collect()] == [len(long) * 1999, len(long)]
     assert hashlib.sha256(b"").hexdigest()[:4] == "e3b0"
 
 
