@@ -11,8 +11,6 @@ from lorespark.llm.common import Scratch
 WORD = r"[^\x20\x09-\x0D]+"
 #: No source is read over this often.
 MAX_EPOCHS = 3
-#: Documents that one window's group holds, about.
-GROUP = 20_000
 
 
 def word_count(text: str | Column) -> Column:
@@ -40,15 +38,18 @@ def source_targets(sources: DataFrame, cap: int = MAX_EPOCHS) -> DataFrame:
 
 
 def weigh(docs: DataFrame, id_col: str, source_col: str, text_col: str) -> DataFrame:
-    """(id, source, size): all that the mix needs of a document."""
-    return docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"))
+    """(id, source, size, order): all that the mix needs of a document; order is 60 bits of a hash of id and text that
+    other engines know too."""
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    key = F.md5(F.concat(F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.lit("|"), F.md5(text)))
+    return docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"), F.conv(F.substring(key, 1, 15), 16, 10).cast("long").alias("_o"))
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", cycle: tuple[int, ...] = (1, 2, 3), ramp: float = 0.5) -> DataFrame:
     """One row for each document: id, source, size, source_size, target, copies, taken, position.
 
     Sources in code point order (null last) weigh ``cycle`` repeated. Each source's documents stand in the order
-    of their id's hash; its words, read over and over, are taken up to its target, the last document only if
+    of a hash of id and text; its words, read over and over, are taken up to its target, the last document only if
     over half of it lies below the target. So copies differ by 1 within a source and none is over MAX_EPOCHS.
 
     A source's weight over the training time t in 0..1 is ``1 + r * (2 t - 1)``, r = ramp, 0 or -ramp by the
@@ -56,21 +57,19 @@ def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", tex
     the integral ``target * ((1 - r) t + r t^2)``; inverted at the middle of a document's first copy that gives
     ``position`` (null where no copy is taken). ``positions`` has all copies.
 
-    Running sums are taken in two steps: over buckets of the hash (a few thousand documents each, more buckets for
-    larger sources), then within a bucket, so no source meets in one task. Ties: documents of equal id are ordered
-    by size, equal rows are alike. Null or empty texts have size 0, are never taken, and cost nothing. Null ids
-    are allowed. An empty table gives an empty result.
+    Running sums are taken in two steps: over buckets of the hash, as many as the square root of a source's documents,
+    then within a bucket, which holds about as many; so no source meets in one task. Null and repeated ids are spread
+    by their texts. Ties: rows equal in id and text are alike. Null or empty texts have size 0, are never taken, and
+    cost nothing. One row for each source is ranked in one task. An empty table gives an empty result.
     """
     scratch = Scratch(docs.sparkSession, "mix")
     base = scratch.save(weigh(docs, id_col, source_col, text_col), "sizes")
     sums = base.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n"))
     ranked = sums.withColumn("rank", F.row_number().over(W.orderBy(F.col("source").isNull(), F.col("source").cast("binary"))))
     ranked = ranked.withColumn("place", F.pmod(F.col("rank") - 1, F.lit(len(cycle)))).withColumn("weight", F.element_at(F.array(*map(F.lit, cycle)), F.col("place") + 1))
-    targets = scratch.save(source_targets(ranked).withColumn("buckets", F.ceil(F.col("n") / GROUP)), "targets")
-    # the order of a source: 60 bits of a hash that other engines know too
-    order = F.conv(F.substring(F.md5(F.coalesce(F.col("id").cast("string"), F.lit(""))), 1, 15), 16, 10).cast("long")
+    targets = scratch.save(source_targets(ranked).withColumn("buckets", F.ceil(F.sqrt("n"))), "targets")
     same = base["source"].eqNullSafe(targets["source"])
-    placed = base.join(targets.drop("n"), same).drop(targets["source"]).withColumn("_o", order).withColumn("_b", F.pmod("_o", F.col("buckets")))
+    placed = base.join(targets.drop("n"), same).drop(targets["source"]).withColumn("_b", F.pmod("_o", F.col("buckets")))
     by_bucket = scratch.save(placed.groupBy("rank", "_b").agg(F.sum("size").alias("_s")), "buckets")
     ahead = W.partitionBy("rank").orderBy("_b").rowsBetween(W.unboundedPreceding, -1)
     starts = scratch.save(by_bucket.select("rank", "_b", F.coalesce(F.sum("_s").over(ahead), F.lit(0)).alias("_start")), "starts")

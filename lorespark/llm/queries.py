@@ -71,7 +71,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 #: The mix in DuckDB; every other operator needs a hash, a model or an algorithm that SQL lacks and is tested by brute force.
 OP6_SQL = r"""
 with base as (
-  select doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::bigint as size from documents),
+  select doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::bigint as size,
+    ('0x' || substr(md5(coalesce(doc_id::varchar, '') || '|' || md5(coalesce(text, ''))), 1, 15))::bigint as hash_ord from documents),
 s as (select source, sum(size)::bigint as source_size from base group by source),
 r as (select *, row_number() over (order by source is null, encode(source)) as rk from s),
 w as (select *, ((rk - 1) % 3 + 1)::bigint as weight, ((rk - 1) % 3)::bigint as place from r),
@@ -82,9 +83,11 @@ l as (select *,
 t as (select source, source_size, place, least(weight * (select arg_min(level, (bound, rk)) from l where level <= bound), (3 * source_size)::double) as target from l),
 p as (select base.doc_id, size, source_size, target, place,
     coalesce(sum(size) over (partition by rank_source, bucket order by ord, base.doc_id nulls first, size rows between unbounded preceding and 1 preceding), 0) as inner_sum, rank_source, bucket
-  from (select base.*, t.source_size, t.target, t.place, hash_ord as ord, coalesce(base.source, chr(0)) as rank_source, hash_ord % (select ceil(count(*) / 20000.0)::bigint from base x where x.source is not distinct from base.source) as bucket
-        from (select *, ('0x' || substr(md5(coalesce(doc_id::varchar, '')), 1, 15))::bigint as hash_ord from base) base join t on base.source is not distinct from t.source) base),
-q as (select *, inner_sum + coalesce((select sum(size) from p x where x.rank_source = p.rank_source and x.bucket < p.bucket), 0) as before from p),
+  from (select base.*, t.source_size, t.target, t.place, hash_ord as ord, coalesce(base.source, chr(0)) as rank_source, hash_ord % k.buckets as bucket
+        from base join (select source, ceil(sqrt(count(*)))::bigint as buckets from base group by source) k on base.source is not distinct from k.source join t on base.source is not distinct from t.source) base),
+u as (select rank_source, bucket, sum(size) as bucket_size from p group by all),
+v as (select rank_source, bucket, coalesce(sum(bucket_size) over (partition by rank_source order by bucket rows between unbounded preceding and 1 preceding), 0) as start from u),
+q as (select p.*, inner_sum + start as before from p join v on p.rank_source = v.rank_source and p.bucket = v.bucket),
 c as (select *, case when size > 0 and target - before - size / 2.0 >= 0 then least(3, floor((target - before - size / 2.0) / source_size)::bigint + 1) else 0 end::bigint as copies from q),
 z as (select *, least(1.0, (before + size / 2.0) / target) as share, case place when 0 then 0.5 when 1 then 0.0 else -0.5 end as ramp from c)
 select doc_id, size, source_size, target, (copies * size)::bigint as taken, copies,

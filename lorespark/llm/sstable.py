@@ -215,6 +215,12 @@ def write_tokens(docs: DataFrame, out_dir: str, path: str | None = None, id_col:
     text is a document of the end id alone. Repeated ids stay repeated keys, ordered by the text's hash; if any id
     is null all are numbered first (``with_uid``), nulls before others.
     """
+    narrow = docs.select(docs[f"`{id_col}`"].alias("id"), docs[f"`{text_col}`"].alias("t"))
+    write_numbered(with_uid(narrow, "id", "t", unique=False), out_dir, path, end_id, shard_bytes)
+
+
+def write_numbered(docs: DataFrame, out_dir: str, path: str | None = None, end_id: int = END_ID, shard_bytes: int = SHARD_BYTES) -> None:
+    """``write_tokens`` of documents (uid, t) that have their number."""
     from pyspark import TaskContext
 
     small_batches(docs.sparkSession)
@@ -244,11 +250,10 @@ def write_tokens(docs: DataFrame, out_dir: str, path: str | None = None, id_col:
             for x in w.end():
                 yield pa.RecordBatch.from_arrays([pa.array([x], pa.binary())], names=["segment"])
 
-    size = docs.agg(F.sum(F.octet_length(F.col(text_col).cast("binary")))).first()[0] or 0
+    size = docs.agg(F.sum(F.octet_length(F.col("t").cast("binary")))).first()[0] or 0
     spark = docs.sparkSession
     n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // shard_bytes))
-    rows = docs if "uid" in docs.columns else with_uid(docs, id_col, text_col, unique=False)
-    keyed = rows.select("uid", F.col(text_col).cast("string").alias("t"), F.xxhash64(text_col).alias("_tag"), F.monotonically_increasing_id().alias("_row"))
+    keyed = docs.select("uid", F.col("t").cast("string").alias("t"), F.xxhash64("t").alias("_tag"), F.monotonically_increasing_id().alias("_row"))
     dealt = keyed.repartitionByRange(n, "uid", "_tag", "_row").sortWithinPartitions("uid", "_tag")
     dealt.select("uid", "t").mapInArrow(run, "segment binary").select(F.col("segment").cast("string").alias("value")).write.option("compression", "none").text(out_dir)
 
@@ -285,9 +290,10 @@ def token_table(docs: DataFrame, path: str | None = None, id_col: str = "doc_id"
 
     spark = docs.sparkSession
     scratch = Scratch(spark, "tokens")
-    numbered = with_uid(docs, id_col, text_col, unique=False)
+    kind = docs.schema[id_col].dataType
+    numbered = with_uid(docs.select(docs[f"`{id_col}`"].alias("id"), docs[f"`{text_col}`"].alias("t")), "id", "t", unique=False)
     out_dir = out_dir or scratch.path("shards")
-    write_tokens(numbered, out_dir, path, id_col, text_col)
+    write_numbered(numbered, out_dir, path)
     scratch.release()
     found = scratch.save(read_tokens(spark, out_dir), "entries")
     shards = found.groupBy("shard").agg(F.sum("n_tokens").alias("total"))
@@ -295,5 +301,5 @@ def token_table(docs: DataFrame, path: str | None = None, id_col: str = "doc_id"
     shards = scratch.save(shards.select("shard", F.coalesce(F.sum("total").over(ahead), F.lit(0)).alias("ahead")), "shards")
     out = found.join(shards, "shard").select("uid", (F.col("ahead") + F.col("before")).alias("start"), "n_tokens", "ids_crc32")
     if getattr(numbered, "_uid_is_id", False):
-        return out.select(F.col("uid").cast(docs.schema[id_col].dataType).alias(id_col), "start", "n_tokens", "ids_crc32")
-    return out.join(numbered.select("uid", id_col).distinct(), "uid").select(id_col, "start", "n_tokens", "ids_crc32")
+        return out.select(F.col("uid").cast(kind).alias(id_col), "start", "n_tokens", "ids_crc32")
+    return out.join(numbered.select("uid", "id").distinct(), "uid").select(F.col("id").alias(id_col), "start", "n_tokens", "ids_crc32")

@@ -370,6 +370,14 @@ def test_mix(spark, docs):
     assert sorted(map(tuple, rows), key=str) == sorted(map(tuple, mixing.mix(docs.repartition(7)).collect()), key=str)
 
 
+def test_mix_spreads_null_and_repeated_ids(spark):
+    rows = [(None, f"w{i} of it", "en", "a") for i in range(900)] + [(5, f"v{i} of it", "en", "a") for i in range(900)] + [(i, f"u{i} of it", "en", None) for i in range(600)]
+    df = spark.createDataFrame(rows, SCHEMA).withColumn("size", F.lit("x"))
+    assert mixing.weigh(df, "doc_id", "source", "text").select(F.pmod("_o", F.lit(43)).alias("b")).groupBy("b").count().agg(F.max("count")).first()[0] < 120
+    out = mixing.mix(df).collect()
+    assert len(out) == len(rows) and abs(sum(r.taken for r in out) - 3 * len(rows)) <= 6
+
+
 def test_positions_follow_the_schedule(spark):
     rows = [(i, "w " * 10, s) for i, s in enumerate(["a", "b", "c"] * 400)]
     m = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string"))
@@ -754,3 +762,86 @@ def test_dedup_beyond_the_broadcast(spark, docs, monkeypatch):
     want = sorted(r.doc_id for r in simhash.deduplicate(docs).collect())
     monkeypatch.setattr(simhash, "SENT_IDS", 0)
     assert sorted(r.doc_id for r in simhash.deduplicate(docs).collect()) == want and len(want) < docs.count()
+
+
+# ---- pipeline
+
+
+def slow_pipeline(docs, good, items):
+    """The five stages, document by document: (doc_id, start, n_tokens, ids_crc32) of the rows written."""
+    left = {i: x for i, x in docs.items() if good[i]}
+    comp = slow_components({i: slow_simhash(t) for i, (t, _) in left.items()})
+    left = {i: x for i, x in left.items() if comp[i] == i}
+
+    def leaks(t):
+        n = decontaminate.normalise(t)
+        return any(edit_best(c, n) <= len(c) // 10 for c in (decontaminate.normalise(x).strip() for x in items))
+
+    left = {i: x for i, x in left.items() if x[0] is None or not leaks(x[0])}
+    by = collections.defaultdict(list)
+    for i, (t, s) in left.items():
+        by[s].append((i, len((t or "").encode().split()), t or ""))
+    names = sorted((s for s in by if s is not None), key=str.encode) + [None] * (None in by)
+    size = {s: sum(x[1] for x in by[s]) for s in names}
+    weight = {s: 1 + k % 3 for k, s in enumerate(names)}
+    target, open_, rest = {}, set(names), float(sum(size.values()))
+    while open_:
+        level = rest / sum(weight[s] for s in open_)
+        over = {s for s in open_ if level * weight[s] > 3 * size[s]}
+        target |= {s: 3.0 * size[s] if s in over else level * weight[s] for s in (over or open_)}
+        rest -= sum(target[s] for s in over)
+        open_ -= over or open_
+    copies = collections.Counter()
+    for s in names:
+        digest = lambda x: int(hashlib.md5(f"{x[0]}|{hashlib.md5(x[2].encode()).hexdigest()}".encode()).hexdigest()[:15], 16)
+        n = next(k for k in range(1, 10**6) if k * k >= len(by[s]))
+        upto = 0
+        for x in sorted(by[s], key=lambda x: (digest(x) % n, digest(x))):
+            room = target[s] - upto - x[1] / 2
+            copies[x[0]] = min(3, int(room // size[s]) + 1) if x[1] and room >= 0 else 0
+            upto += x[1]
+    lib, start, out = library(), 0, []
+    for i in sorted(left):
+        for _ in range(copies[i]):
+            ids = [*lib.encode(left[i][0] or "", add_special_tokens=False).ids, 2]
+            out.append((i, start, len(ids), zlib.crc32(b"".join(x.to_bytes(4, "little") for x in ids))))
+            start += len(ids)
+    return out
+
+
+def test_pipeline(spark, tmp_path):
+    import corpus_pipeline
+
+    r = random.Random(21)
+    rows = [(i, t, lang, s) for i, t, lang, s in {x[0]: x for x in rand_docs(17, 70)}.values()]
+    junk = [(500 + i, " ".join(r.choice(["$$$", "a|b", "###", "9%"]) for _ in range(60)), "en", "s1") for i in range(20)]
+    items = [" ".join(r.choice(["house", "river", "mountain", "letter", "winter", "garden"]) for _ in range(9)) for _ in range(4)]
+    rows += [(600 + k, f"{rows[k][1]}\n{x[:30]}x{x[31:]}", "en", "s2") for k, x in enumerate(items)] + junk + [(700, "", "en", "s1"), (701, None, None, None)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    df.write.parquet(f"{tmp_path}/documents.parquet")
+    lab = spark.createDataFrame([(x[0], int(x[0] < 500), 0) for x in rows if x[0] < 600], "doc_id long, quality int, toxic int")
+    lab.write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame(list(enumerate(items)), "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    good = {x.doc_id: x.predicted == 1 for x in quality.classify(df, lab).collect()}
+    assert not any(good[x[0]] for x in junk) and sum(good.values()) > 40
+    got = sorted(tuple(x) for x in corpus_pipeline.run(spark, str(tmp_path)).select("doc_id", "start", "n_tokens", "ids_crc32").collect())
+    want = slow_pipeline({x[0]: (x[1], x[3]) for x in rows}, good, items)
+    assert got == sorted(want) and want and not {x[0] for x in want} & {600, 601, 602, 603}
+
+
+@pytest.mark.parametrize("k", range(5))
+def test_stages_take_odd_tables(spark, tmp_path, k):
+    """Null and repeated ids, null and empty and long texts, clashing columns, no rows."""
+    import corpus_pipeline
+
+    rows = [(1, "a plain text of some words " * 4, "en", "s"), (1, "a plain text of some words " * 4, "en", "s"), (1, "another one that is quite unlike it", "en", None), (None, "no id on this text at all", None, "s"), (None, None, "en", "s"), (3, "", "en", "s"), (4, "long " * 100_000, "en", "s")]
+    clash = lambda d: d.select(*d.columns, *(F.lit(7).alias(c) for c in ("uid", "rest", "_x", "item_ids", "copy", "position", "size", "_stays")))
+    df = clash(spark.createDataFrame(rows, SCHEMA))
+    spark.createDataFrame([(1, 1, 0), (4, 0, 0), (None, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(1, "nothing of the kind in here"), (None, "x"), (2, None)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    name, stage = corpus_pipeline.STAGES[k]
+    out, none = stage(spark, df, str(tmp_path)), stage(spark, df.limit(0), str(tmp_path))
+    if k < 4:
+        assert out.columns == df.columns == none.columns
+    assert none.count() == 0
+    assert out.count() == {1: 5, 2: 7, 4: 7}.get(k, out.count()) and out.count() > 0
