@@ -55,7 +55,7 @@ STAGES = [
     ("token-ID / binary output", token_tables),
 ]
 
-#: A fitted model and XXH64 fingerprints are beyond SQL; tests hold run() against a brute-force version.
+#: A fitted model and XXH64 fingerprints are beyond SQL; tests/llm holds run() against a brute-force version.
 ORACLE_SQL = None
 
 
