@@ -12,6 +12,8 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 
+from lorespark.operators.definitions import LANGUAGES, top_spans
+
 # Limits of a chunk, and the characters that count one token each.
 PROSE_CHARS, CODE_CHARS, CODE_TOKENS, SPLIT_LINES = 800, 1500, 480, 4
 CJK_RANGES = ((0x4E00, 0x9FFF), (0x3040, 0x309F), (0x30A0, 0x30FF), (0xAC00, 0xD7AF))
@@ -113,49 +115,48 @@ def _top_level(content: str, lang: str | None) -> list[tuple[int, int]] | None:
             return None
         defs = (ast.FunctionDef, ast.AsyncFunctionDef, ast.ClassDef)
         return [(min([n.lineno, *(d.lineno for d in n.decorator_list)]), n.end_lineno) for n in found if isinstance(n, defs)]
-    if lang is None:
-        return None
-    lines, out, at = _lines(content), [], 0
-    while at < len(lines):
-        if STARTS.match(lines[at]) and not lines[at][:1].isspace():
-            depth, opened, end = 0, False, at
-            for k in range(at, len(lines)):
-                bare = re.sub(r"""//.*|"(?:\\.|[^"\\])*"|'(?:\\.|[^'\\])'""", "", lines[k])
-                depth += bare.count("{") - bare.count("}")
-                opened, end = opened or "{" in bare, k
-                if opened and depth <= 0 or not opened and bare.rstrip().endswith(";"):
-                    break
-            else:
-                if opened:
-                    return None  # braces don't close: the text is torn
-                end = at
-            out.append((at + 1, end + 1))
-            at = end + 1
-        else:
-            at += 1
-    return out
+    return top_spans(content, lang) if lang in LANGUAGES else None
+
 
+def _tokens(text: str) -> int:
+    cjk = len(_CJK.findall(text))
+    return cjk - (-(len(text) - cjk) // 4)
 
-def syntax_chunks(content: str | None, lang: str | None) -> list[tuple[str, int, int]]:
+
+def syntax_chunks(content: str | None, lang: str | None, pack: bool = False, budget: int = CODE_TOKENS) -> list[tuple[str, int, int]]:
     """Chunks by definitions on the top level, gaps between them too; by lines where the language or its syntax is unknown.
 
-    An approximation: Python is parsed, other languages are cut where braces close.
+    Python is parsed, other languages are cut where the braces of a definition close. With ``pack``, for C and C++,
+    neighbours are joined up to the budget of tokens.
     """
     found = _top_level(content or "", lang)
-    if not found:
+    if found is None:
         return code_chunks(content)
-    lines, out, at = _lines(content), [], 1
-    spans = []
+    lines, out, at = _lines(content or ""), [], 1
+    spans: list[tuple[int, int]] = []
     for a, b in found:
+        a, b = max(a, at), min(b, len(lines))
+        if a > b:
+            continue
         spans += [(at, a - 1)] * (a > at) + [(a, b)]
         at = b + 1
     spans += [(at, len(lines))] * (at <= len(lines))
+    if pack and lang in ("c", "cpp"):
+        joined: list[tuple[int, int]] = []
+        room = 0
+        for a, b in spans:
+            n = _tokens("\n".join(lines[a - 1 : b]))
+            if joined and n <= room:
+                joined[-1] = (joined[-1][0], b)
+                room -= n
+            else:
+                joined.append((a, b))
+                room = max(0, budget - n)
+        spans = joined
     for a, b in spans:
         text = "\n".join(lines[a - 1 : b])
-        if not text.strip():
-            continue
-        small = len(text) <= CODE_CHARS and len(_CJK.findall(text)) - (-(len(text) - len(_CJK.findall(text))) // 4) <= CODE_TOKENS
-        out += [(text, a, b)] if small else [(t, x + a - 1, y + a - 1) for t, x, y in code_chunks(text, False)]
+        if text.strip():
+            out += [(text, a, b)] if _tokens(text) <= budget else [(t, x + a - 1, y + a - 1) for t, x, y in code_chunks(text, False)]
     return out
 
 

@@ -81,15 +81,17 @@ def ingest(docs: DataFrame, embedder: Embedder, now: float) -> dict[str, DataFra
     code = F.get_json_object("meta", "$.kind").eqNullSafe("file")
     known = docs.withColumns({"_code": code, "_lang": paths.lang_for_path(F.col("key"))})
     found = chunking.chunk(known, "document_id", "content", "_code", "_lang")
-    about = known.select("namespace", "document_id", "key", "_code")
+    about = known.select("namespace", "document_id", "key", "_code", "_lang")
     chunks = found.join(about, "document_id").withColumn("chunk_id", F.concat_ws("#", "document_id", F.col("seq")))
     chunks = chunks.withColumn("embedding", embedding(embedder, F.col("text"))).where("embedding is not null")
     chunks = chunks.withColumns({"model_signature": F.lit(embedder.signature), "dim": F.size("embedding"), "created_at": F.lit(float(now))})
-    found = F.when(F.col("_code"), F.array_sort(F.array_distinct(F.concat(text.code_entities(F.col("text")), F.array(F.concat(F.lit("path:"), "key")))))).otherwise(text.entities(F.col("text")))
-    entities = chunks.select("namespace", "chunk_id", "document_id", F.explode(found).alias("entity_id")).distinct()
+    found = F.when(F.col("_code"), F.array_sort(F.array_distinct(F.concat(text.code_entities(F.col("text")), F.coalesce("_defs", F.array().cast("array<string>")), F.array(F.concat(F.lit("path:"), "key")))))).otherwise(text.entities(F.col("text")))
+    # names that the language's own rules find, beside those of the general pattern
+    defined = symbols.symbol_lists(F.when(F.col("_code") & F.col("_lang").isNotNull(), F.col("text")), F.col("_lang"))
+    entities = chunks.withColumn("_defs", defined).select("namespace", "chunk_id", "document_id", F.explode(found).alias("entity_id")).distinct()
     edges = symbols.extract_edges(known.where("_code"), "document_id", "content", "_lang").join(about, "document_id")
     edges = edges.select("namespace", F.col("document_id").alias("src_doc_id"), "dst_sym", F.lit(None).cast("string").alias("dst_doc_id"), "edge_kind", "src_line", "confidence")
-    return {"docs": docs, "chunks": chunks.drop("_code", "key", "seq"), "entities": entities, "edges": edges}
+    return {"docs": docs, "chunks": chunks.drop("_code", "_lang", "key", "seq"), "entities": entities, "edges": edges}
 
 
 def commit(store: tables.Snapshots, new: dict[str, DataFrame], namespace: str, now: float) -> int:

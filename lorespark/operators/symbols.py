@@ -1,4 +1,4 @@
-"""Symbols and call edges of source code, by the standard parser for Python and by tokens for other languages."""
+"""Symbols and call edges of source code, by the standard parser for Python and by masked text for other languages."""
 
 from __future__ import annotations
 
@@ -10,6 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 
 from lorespark.functions.text import DEFINITION
+from lorespark.operators.definitions import KEYWORDS, LANGUAGES, definitions, masked
 
 _DEF = re.compile(DEFINITION)
 _NOISE = re.compile(r"""//[^\n]*|/\*.*?\*/|"(?:\\.|[^"\\])*"|'(?:\\.|[^'\\])'""", re.S)
@@ -17,8 +18,6 @@ _CALL = re.compile(r"([A-Za-z_]\w*)\s*(!?)\(")
 _TYPE = re.compile(r"(?:->|[:&<,(]|\bnew\b|\bimpl\b|\bfor\b)\s*(?:&|mut\s+|dyn\s+)*([A-Z]\w*)")
 _USE = re.compile(r"(?m)^\s*(?:pub\s+)?use\s+([^;]+);")
 _INCLUDE = re.compile(r"""(?m)^\s*#\s*include\s*[<"]([^>"]+)[>"]""")
-# Words before a bracket that are no calls.
-KEYWORDS = frozenset("if else for while match return loop switch sizeof fn struct enum impl trait pub let mut in as catch do static const".split())
 
 
 def symbols(code: str | None, lang: str | None) -> list[str]:
@@ -29,6 +28,8 @@ def symbols(code: str | None, lang: str | None) -> list[str]:
             return sorted({f"sym:{n.name}" for n in ast.walk(ast.parse(code or "")) if isinstance(n, kinds)})
         except (SyntaxError, ValueError, RecursionError):
             pass
+    if lang in LANGUAGES:
+        return sorted({f"sym:{name}" for name, _ in definitions(code or "", lang)})
     return sorted({f"sym:{m}" for m in _DEF.findall(_NOISE.sub(" ", code or ""))})
 
 
@@ -52,8 +53,9 @@ def edges(code: str | None, lang: str | None, least: float = 0.6) -> list[tuple[
     """
     if lang not in ("rust", "c", "cpp") or not code:
         return []
-    bare = _NOISE.sub(lambda m: "\n" * m[0].count("\n") + " ", code)
-    own = {s[4:] for s in symbols(code, lang)} | {m for m in re.findall(r"(?m)^[\w:*&<>\s]+?\b([A-Za-z_]\w*)\s*\([^;{]*\)\s*\{", bare) if m not in KEYWORDS}
+    bare, defined = masked(code, lang), definitions(code, lang)
+    own = {name.split("::")[-1] for name, _ in defined}
+    heads = {at + len(name) - len(name.split("::")[-1]) for name, at in defined}
     imported = _imports(code, lang)
     found: dict[tuple[str, str], tuple[float, int]] = {}
 
@@ -66,7 +68,7 @@ def edges(code: str | None, lang: str | None, least: float = 0.6) -> list[tuple[
 
     for m in _CALL.finditer(bare):
         before = bare[max(0, m.start() - 12) : m.start()].split()
-        if m[1] not in KEYWORDS and not m[2] and not (before and before[-1] in ("fn", "struct", "enum")):
+        if m[1] not in KEYWORDS and m.start() not in heads and not m[2] and not (before and before[-1] in ("fn", "struct", "enum")):
             add(m[1], "CALLS", m.start())
     for m in _TYPE.finditer(bare):
         add(m[1], "USES_TYPE", m.start())
@@ -87,6 +89,17 @@ def extract_edges(docs: DataFrame, id_col: str, code_col: str, lang_col: str, le
     return docs.select(id_col, code_col, lang_col).mapInPandas(run, f"`{id_col}` {kind}, dst_sym string, edge_kind string, src_line int, confidence double")
 
 
+def symbol_lists(code_col, lang_col):
+    """UDF: the definitions in each text, as an array."""
+    from pyspark.sql import functions as F
+
+    @F.pandas_udf("array<string>")
+    def run(code: pd.Series, lang: pd.Series) -> pd.Series:
+        return pd.Series([symbols(c, x) for c, x in zip(code, lang, strict=True)], dtype=object)
+
+    return run(code_col, lang_col)
+
+
 def extract_symbols(docs: DataFrame, id_col: str, code_col: str, lang_col: str) -> DataFrame:
     """(id, symbol): every definition of each document."""
     kind = docs.schema[id_col].dataType.simpleString()

@@ -43,6 +43,43 @@ def test_syntax_chunks():
     assert symbols.symbols(py, "python") == ["sym:A", "sym:f", "sym:g"]
 
 
+DEFINED = {
+    "javascript": ("function foo() {}\nexport default class A { constructor(x) { this.x = x; } bar(a, b) { if (a) { return b(); } } static async *gen() {} }\nconst o = { m() { return 1; } };\nlet z = function inner() {};\n", "A bar constructor foo gen m"),
+    "typescript": ("export interface I { f(): void }\ntype T<A> = A | null;\nenum E { A }\nexport abstract class C<T> extends B { protected get y(): number { return 1; } abstract q(): void; }\nexport async function go<T>(a: T): Promise<T> { return a; }\n", "C E I T go y"),
+    "tsx": ("export function View() { return <div>{x}</div>; }\n", "View"),
+    "kotlin": ("package x\nfun alpha(n: Int): Int { return n + 1 }\nclass Beta(val a: Int) { fun m() = a }\nobject O { }\nfun String.ext() {}\n", "Beta O alpha ext m"),
+    "java": ("class Foo extends B {\n int alpha(int n) { return n + 1; }\n Foo() {}\n @Override\n public void beta() throws E { for (;;) { call(1); } }\n abstract int g(int a);\n int z = f(1);\n enum Q { A(1), B(2); Q(int i) {} }\n}\n", "Foo Q alpha beta g"),
+    "c": ("#include <stdio.h>\nstruct Pixel { int r, g, b; };\nstatic int g(void) { return h(1); }\nint dewarp(int x) {\n  if (x) { return x * 2; }\n  return f(x);\n}\nint arr[] = { 1, 2 };\n", "Pixel dewarp g"),
+    "cpp": ("namespace avm {\nclass Stitcher : public B {\npublic:\n  int blend(int a) const { return a; }\n  ~Stitcher() {}\n};\ntemplate <class T> T mx(T a) { return a; }\nvoid Stitcher::run(int q) { blend(q); }\n}\n", "Stitcher Stitcher::run avm blend mx"),
+    "go": ("package m\nfunc A(x int) int { return x }\nfunc (r *T) B() {}\ntype S struct { a int }\n", "A B"),
+    "rust": ("pub fn f(a: [u8; 4]) -> T { g() } // fn no() {}\ntrait Q { fn sig(&self); fn d(&self) { } }\nimpl X { fn m(&self) {} }\nmod z;\nmacro_rules! mm { () => {} }\ntype Al = u8;\n", "Al Q d f m mm z"),
+    "python": ("def f(): pass\nclass A:\n  async def g(self): pass\n", "A f g"),
+}
+
+
+@pytest.mark.parametrize("lang", DEFINED)
+def test_symbols_of_every_language(lang):
+    code, want = DEFINED[lang]
+    assert symbols.symbols(code, lang) == [f"sym:{x}" for x in want.split()]
+    assert isinstance(symbols.symbols("class { void (( ; namespace }{", lang), list) and symbols.symbols(None, lang) == []
+
+
+def test_chunks_of_every_language():
+    kotlin = "package x\n\nimport y.Z\n\nfun alpha(n: Int): Int {\n    return n + 1\n}\n\nclass Beta(val a: Int) {\n    fun m() = a\n}\n"
+    assert [x[1:] for x in chunking.syntax_chunks(kotlin, "kotlin")] == [(1, 4), (5, 7), (9, 11)]
+    c = "#include <stdio.h>\n\nstruct Pixel { int r, g, b; };\n\nint dewarp(int x) {\n    return x * 2;\n}\n"
+    assert [x[1:] for x in chunking.syntax_chunks(c, "c")] == [(1, 2), (3, 3), (5, 7)]
+    js = "import a from 'a'\nfunction f() {\n  return 1\n}\nconst x = 1\nclass B {\n}\n"
+    assert [x[1:] for x in chunking.syntax_chunks(js, "javascript")] == [(1, 1), (2, 4), (5, 5), (6, 7)]
+    small = "".join(f"int f{i}() {{ return {i}; }}\n" for i in range(4))
+    assert len(chunking.syntax_chunks(small, "c")) == 4 and len(chunking.syntax_chunks(small, "c", pack=True)) == 1
+
+
+def test_calls_leave_definitions_out():
+    got = symbols.edges("int h(int x) { return f(x); }\nint f(int x) { return 1; }\nint main() { h(2); return 0; }\n", "c", 0.3)
+    assert got == [("sym:f", "CALLS", 1, 1.0), ("sym:h", "CALLS", 3, 1.0)]
+
+
 def test_edges():
     code = "use crate::store::Store;\nfn helper() {}\nfn main(s: &Store) {\n  helper();\n  Store::open(1); // gone()\n  other();\n}\n"
     got = {(a, k): c for a, k, _, c in symbols.edges(code, "rust")}
