@@ -35,24 +35,52 @@ def fnv1a(data: bytes) -> int:
     return h
 
 
-def hash_vector(text: str, dim: int) -> np.ndarray:
-    out = np.zeros(dim, np.float32)
-    for w in text.lower().split():
-        out[fnv1a(w.encode()) % dim] += 1
+def fnv1a_all(texts: list[bytes]) -> np.ndarray:
+    """64-bit FNV-1a of each text, all at once: byte after byte, the texts that still have one."""
+    size = np.fromiter(map(len, texts), np.int64, len(texts))
+    order = np.argsort(-size, kind="stable")
+    start, data = np.concatenate([[0], np.cumsum(size)[:-1]])[order], np.frombuffer(b"".join(texts), np.uint8)
+    h = np.full(len(texts), 0xCBF29CE484222325, np.uint64)
+    left = np.searchsorted(-size[order], -np.arange(size.max(initial=0)), "left")  # texts longer than each place
+    for k, n in enumerate(left.tolist()):
+        h[:n] = (h[:n] ^ data[start[:n] + k]) * np.uint64(0x100000001B3)
+    out = np.empty_like(h)
+    out[order] = h
     return out
 
 
+def hash_vector(text: str, dim: int) -> np.ndarray:
+    return hash_vectors([text], dim)[0]
+
+
+def hash_vectors(texts: list[str], dim: int) -> list[np.ndarray]:
+    """Counts of each text's words by hash; each distinct word of the batch is hashed once."""
+    split = [t.lower().split() for t in texts]
+    words = list({w for ws in split for w in ws})
+    place = dict(zip(words, (fnv1a_all([w.encode() for w in words]) % np.uint64(dim)).tolist(), strict=True))
+    return [np.bincount([place[w] for w in ws], minlength=dim).astype(np.float32) if ws else np.zeros(dim, np.float32) for ws in split]
+
+
 def hash_embed(dim: int):
     """UDF: counts of a text's words by hash, in ``dim`` buckets; null stays null."""
 
     @F.pandas_udf(ArrayType(FloatType()))
     def embed(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for p in parts:
-            yield pd.Series([None if t is None else hash_vector(t, dim) for t in p], dtype=object)
+            found = iter(hash_vectors([t for t in p if t is not None], dim))
+            yield pd.Series([None if t is None else next(found) for t in p], dtype=object)
 
     return embed
 
 
+@F.pandas_udf(StringType())
+def fnv1a_text(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    """UDF: 64-bit FNV-1a of a text as a decimal number; null stays null."""
+    for p in parts:
+        found = iter(fnv1a_all([t.encode() for t in p if t is not None]).tolist())
+        yield pd.Series([None if t is None else str(next(found)) for t in p], dtype=object)
+
+
 @F.pandas_udf(StringType())
 def url_key(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
     """UDF: every byte that is no ASCII letter or digit, percent-encoded."""

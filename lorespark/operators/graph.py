@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+# Fixed value: no traversal goes deeper.
+MAX_DEPTH = 4
 HOP = ["path", "document_id", "sym", "edge_kind", "confidence", "depth"]
 
 
@@ -23,14 +25,14 @@ def callers(docs: DataFrame, edges: DataFrame, entities: DataFrame, namespace: s
     defines = entities.where((F.col("namespace") == namespace) & F.col("entity_id").startswith("sym:")).select("document_id", F.col("entity_id").alias("sym")).distinct()
     frontier = edges.sparkSession.createDataFrame([(symbol,)], "sym string")
     seen = None
-    for level in range(1, depth + 1):
+    for level in range(1, min(depth, MAX_DEPTH) + 1):
         reached = calls.join(frontier, calls["dst_sym"] == frontier["sym"])
         best = F.min_by(F.struct("sym", "confidence"), F.struct("sym", -F.col("confidence")))
         hop = reached.groupBy(F.col("src_doc_id").alias("document_id")).agg(best.alias("b")).select("document_id", "b.sym", "b.confidence", F.lit(level).alias("depth"))
         if seen is not None:
             hop = hop.join(seen.select("document_id"), "document_id", "left_anti")
         seen = hop if seen is None else seen.unionByName(hop)
-        if level < depth:
+        if level < min(depth, MAX_DEPTH):
             frontier = defines.join(hop.select("document_id"), "document_id").select("sym").distinct()
     top = seen.orderBy("depth", "document_id").limit(limit)
     keys = docs.where(F.col("namespace") == namespace).select("document_id", "key")
@@ -45,7 +47,7 @@ def callees(docs: DataFrame, edges: DataFrame, entities: DataFrame, namespace: s
     own = docs.where(F.col("namespace") == namespace).select("document_id", "key")
     frontier = own.where(F.col("key") == path).select("document_id")
     seen, open_ends = frontier.select("document_id", F.lit(None).cast("string").alias("sym"), F.lit(None).cast("double").alias("confidence"), F.lit(0).alias("depth")), None
-    for level in range(1, depth + 1):
+    for level in range(1, min(depth, MAX_DEPTH) + 1):
         out = calls.join(frontier, calls["src_doc_id"] == frontier["document_id"]).select("dst_sym", "confidence").join(home, "dst_sym", "left")
         loose = out.where("dst is null").select(F.col("dst_sym").alias("path"), F.lit("").alias("document_id"), F.col("dst_sym").alias("sym"), "confidence", F.lit(level).alias("depth"))
         open_ends = loose if open_ends is None else open_ends.unionByName(loose)
@@ -58,6 +60,13 @@ def callees(docs: DataFrame, edges: DataFrame, entities: DataFrame, namespace: s
     return found.unionByName(open_ends).withColumn("edge_kind", F.lit("CALLS")).select(*HOP)
 
 
+def trace(docs: DataFrame, edges: DataFrame, entities: DataFrame, namespace: str, symbol: str | None = None, path: str | None = None, direction: str = "callers", depth: int = 2, limit: int = 20) -> DataFrame:
+    """Who calls a symbol, or with the direction "callees" what a file calls."""
+    if direction == "callees":
+        return callees(docs, edges, entities, namespace, path or "", depth, limit)
+    return callers(docs, edges, entities, namespace, symbol or "", depth, limit)
+
+
 def dedup_edges(edges: DataFrame, by: list[str]) -> DataFrame:
     """The most confident edge of each symbol and kind; ties go to the first line."""
     best = F.min_by(F.struct("confidence", "src_line"), F.struct(-F.col("confidence"), F.coalesce("src_line", F.lit(0))))

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, FloatType
 
 from lorespark.functions import paths, text
-from lorespark.functions.vectors import hash_vector
+from lorespark.functions.vectors import hash_vectors
 from lorespark.operators import chunking, jobs, symbols, tables
 
 
@@ -31,7 +31,7 @@ class HashEmbedder:
         self.dim, self.signature = dim, f"hash:{dim}"
 
     def embed(self, texts: list[str]) -> list[np.ndarray]:
-        return [hash_vector(t, self.dim) for t in texts]
+        return hash_vectors(texts, self.dim)
 
 
 class Fallback:
@@ -96,7 +96,8 @@ def ingest(docs: DataFrame, embedder: Embedder, now: float) -> dict[str, DataFra
 
 def commit(store: tables.Snapshots, new: dict[str, DataFrame], namespace: str, now: float) -> int:
     """Merge what ``ingest`` gave into a store's snapshot: all tables change, or none."""
-    old = {k: store.read(k) for k in ("docs", "chunks", "entities", "edges", "jobs")}
+    base = store.version()
+    old = {k: store.read(k, base) for k in ("docs", "chunks", "entities", "edges", "jobs")}
     touched = new["docs"].select("namespace", "document_id")
     out = {"docs": new["docs"] if old["docs"] is None else tables.upsert(old["docs"], new["docs"], ["namespace", "key"], ["document_id", "created_at"])}
     for name, by in (("chunks", "document_id"), ("entities", "document_id"), ("edges", "src_doc_id")):
@@ -104,4 +105,4 @@ def commit(store: tables.Snapshots, new: dict[str, DataFrame], namespace: str, n
         out[name] = new[name] if old[name] is None else old[name].join(gone, ["namespace", by], "left_anti").select(*old[name].columns).unionByName(new[name])
     empty = touched.sparkSession.createDataFrame([], "job_id string, namespace string, document_id string, status string, attempts int, last_error string, created_at double, updated_at double")
     out["jobs"] = jobs.enqueue(empty if old["jobs"] is None else old["jobs"], namespace, touched.select("document_id"), now)
-    return store.commit(out)
+    return store.commit(out, base)

@@ -73,8 +73,11 @@ def term_weights(stats: DataFrame, terms: list[str]) -> DataFrame:
     return stats.select("n", rows.alias("t")).select("t.term", "n", "t.df", idf(F.col("n"), F.col("t.df")).alias("idf"))
 
 
-def search_code(docs: DataFrame, chunks: DataFrame, entities: DataFrame, namespace: str, signature: str, query: str, vector: list[float], limit: int = 10, floor: float = 0.0, prior: bool = True, weights: Weights = Weights()) -> DataFrame:
-    """Code chunks by vector and weighted terms, times the path's weight, plus a boost for definitions of rare symbols."""
+def search_code(docs: DataFrame, chunks: DataFrame, entities: DataFrame, namespace: str, signature: str, query: str, vector: list[float], limit: int = 10, floor: float = 0.0, prior: bool = True, graph: bool = False, weights: Weights = Weights()) -> DataFrame:
+    """Code chunks by vector and weighted terms, times the path's weight, plus a boost for definitions of rare symbols.
+
+    With ``graph``, and if any document holds an entity that the query names, these counts join the blend.
+    """
     found = code_chunks(chunks, docs, namespace).where(F.col("model_signature") == signature)
     terms, w = text.terms(query), weights
     low = F.lower("text")
@@ -97,6 +100,12 @@ def search_code(docs: DataFrame, chunks: DataFrame, entities: DataFrame, namespa
             boost = F.greatest(boost, F.when(rare, w.definition_boost).otherwise(0.0))
     found = found.withColumn("vector", vectors.cosine(F.col("embedding"), _vector(vector))).withColumn("keyword", keyword)
     base = (1 - w.code_keyword) * F.col("vector") + w.code_keyword * F.col("keyword")
+    if graph:
+        named = [f"{kind}:{t}" for t in dict.fromkeys(text.identifiers(query)) for kind in ("sym", "import")]
+        counts = docs_with_entities(entities, namespace, named)
+        found = found.join(counts.withColumnRenamed("n", "_held"), "document_id", "left").crossJoin(F.broadcast(counts.agg(F.max("n").alias("_top"))))  # one row
+        blend = w.graph * F.coalesce(F.col("_held"), F.lit(0)) / F.col("_top") + w.graph_vector * F.col("vector") + w.graph_keyword * F.col("keyword")
+        base = F.when(F.col("_top").isNull(), base).otherwise(blend)
     found = found.withColumn("score", base * (paths.path_prior(F.col("key")) if prior else 1.0) + boost)
     out = found.select(F.col("key").alias("path"), "document_id", "chunk_id", "line_start", "line_end", F.col("text").alias("snippet"), "score", "vector", "keyword")
     if floor > 0:

@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import uuid
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -101,7 +102,7 @@ def append_leaves(nodes: DataFrame, leaves: DataFrame, order: list[str], slots:
 
 
 class Snapshots:
-    """Tables of one store as versions: a commit writes new versions of the changed tables, then one manifest.
+    """Tables of one store as versions: a commit writes new versions of the changed tables, then one manifest file.
 
     Readers follow the manifest with the highest number, so they see all changed tables or none. Everything goes
     through Spark's own readers, writers and Hadoop's file system; a lost executor only repeats its tasks.
@@ -109,34 +110,48 @@ class Snapshots:
 
     def __init__(self, spark: SparkSession, base: str) -> None:
         self.spark, self.base = spark, base.rstrip("/")
-        jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-        self._path = jvm.org.apache.hadoop.fs.Path
-        self._fs = self._path(self.base).getFileSystem(conf)
+        self._jvm, self._conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+        self._path = self._jvm.org.apache.hadoop.fs.Path
+        self._fs = self._path(self.base).getFileSystem(self._conf)
         self._fs.mkdirs(self._path(f"{self.base}/manifest"))
 
-    def _versions(self) -> list[int]:
-        return sorted(int(s.getPath().getName()) for s in self._fs.listStatus(self._path(f"{self.base}/manifest")) if s.getPath().getName().isdigit())
-
-    def manifest(self) -> dict[str, str]:
-        found = self._versions()
-        if not found:
-            return {}
-        rows = self.spark.read.text(f"{self.base}/manifest/{found[-1]}", wholetext=True).collect()
-        return json.loads(rows[0][0])
-
-    def read(self, name: str) -> DataFrame | None:
-        at = self.manifest().get(name)
-        return None if at is None else self.spark.read.parquet(f"{self.base}/{at}")
-
-    def commit(self, tables: dict[str, DataFrame]) -> int:
-        """Write these tables and switch to them in one step; a rival commit of the same number fails here."""
-        now, number = self.manifest(), (self._versions() or [0])[-1] + 1
+    def version(self) -> int:
+        """The number of the newest commit, 0 before the first."""
+        found = [s.getPath().getName() for s in self._fs.listStatus(self._path(f"{self.base}/manifest"))]
+        return max((int(n) for n in found if n.isdigit()), default=0)
+
+    def manifest(self, at: int | None = None) -> dict[str, str]:
+        at = self.version() if at is None else at
+        return json.loads(self.spark.read.text(f"{self.base}/manifest/{at}", wholetext=True).first()[0]) if at else {}
+
+    def read(self, name: str, at: int | None = None) -> DataFrame | None:
+        """A table as of the newest commit, or of that number."""
+        found = self.manifest(at).get(name)
+        return None if found is None else self.spark.read.parquet(f"{self.base}/{found}")
+
+    def commit(self, tables: dict[str, DataFrame], base: int | None = None) -> int:
+        """Write these tables and switch to them in one step.
+
+        The new version follows ``base``, the one that the caller read (by default the newest now). If another writer
+        has taken its number meanwhile, nothing changes and a RuntimeError says so: read again, and commit again. The
+        manifest is written aside and renamed, which the file system refuses where the name is taken.
+        """
+        base = self.version() if base is None else base
+        now, number = self.manifest(base), base + 1
         for name, df in tables.items():
             at = f"{name}/{number}-{uuid.uuid4().hex[:8]}"
             df.write.parquet(f"{self.base}/{at}")
             now[name] = at
-        draft = f"{self.base}/manifest/.draft-{uuid.uuid4().hex}"
-        self.spark.createDataFrame([(json.dumps(now),)], "value string").coalesce(1).write.text(draft)
-        if not self._fs.rename(self._path(draft), self._path(f"{self.base}/manifest/{number}")):
-            raise RuntimeError(f"version {number} was committed by another writer")
+        draft, target = (self._path(f"{self.base}/manifest/{x}") for x in (f".draft-{uuid.uuid4().hex}", number))
+        out = self._fs.create(draft, False)
+        out.write(bytearray(json.dumps(now).encode()))
+        out.close()
+        options = self.spark.sparkContext._gateway.new_array(self._jvm.org.apache.hadoop.fs.Options.Rename, 0)
+        try:
+            self._jvm.org.apache.hadoop.fs.FileContext.getFileContext(draft.toUri() if draft.isUriPathAbsolute() and draft.toUri().getScheme() else self._fs.getUri(), self._conf).rename(self._fs.makeQualified(draft), self._fs.makeQualified(target), options)
+        except Py4JJavaError as e:
+            self._fs.delete(draft, False)
+            if "FileAlreadyExists" in str(e.java_exception):
+                raise RuntimeError(f"version {number} was committed by another writer") from e
+            raise
         return number

@@ -87,12 +87,13 @@ def _fold(budget: int):
     return run
 
 
-def seal_cascade(leaves: DataFrame, gates: Gates = Gates()) -> DataFrame:
+def seal_cascade(leaves: DataFrame, gates: Gates = Gates(), now: float | None = None) -> DataFrame:
     """All nodes of the trees after these leaves (node_id, seq, body, label, token_count, doc_id) came in order of seq.
 
     A buffer of leaves is sealed as soon as its tokens reach the gate, which depends on all before it: one pass over
     sorted (buffer, seq, tokens), streamed with a running total, so a buffer of any size needs no memory and its
-    texts stay where they are. Above, parents come one by one, so every ``fanout`` of them make a full buffer; their
+    texts stay where they are. With ``now``, what is left of a buffer is sealed too if its oldest leaf (created_at) is
+    older than the gates' age; parents are new, so age seals leaves only. Above, parents come one by one, so every ``fanout`` of them make a full buffer; their
     groups follow from their numbers.
     """
     budget = gates.tokens
@@ -101,7 +102,8 @@ def seal_cascade(leaves: DataFrame, gates: Gates = Gates()) -> DataFrame:
     level = leaves.withColumn("level", F.lit(0)).join(groups, [*BUFFER, "node_id"])
     columns = [*BUFFER, "level", "node_id", "seq", "body", "label", "doc_id", "token_count", "group", "full"]
     w = Window.partitionBy(*BUFFER, "group")
-    level = level.withColumn("full", F.sum("token_count").over(w) >= budget).select(*columns)
+    stale = F.lit(False) if now is None else F.min("created_at").over(w) <= now - gates.age
+    level = level.withColumn("full", (F.sum("token_count").over(w) >= budget) | stale).select(*columns)
     out, fold = None, summaries
     for depth in range(1, gates.max_level):
         nodes = level.select(*BUFFER, "level", "node_id", "seq", "body", "label", "doc_id", "token_count", F.col("full").alias("sealed"), F.when(F.col("full"), F.concat_ws("/", *BUFFER, F.lit(str(depth)), "group")).alias("parent_id"))

@@ -39,17 +39,17 @@ def ingest_rate(t):
     return wanted.join(there, "key", "left").agg(F.round(F.avg(F.coalesce("there", F.lit(0))), 6).alias("rate"), F.count(F.lit(1)).alias("n"))
 
 
-@query("select count_if(score >= 0.55)::bigint as false_alarms, count(*) as n from hits where rank = 1 and query_id % 4 = 1 or rank = 1 and query_id % 4 = 0")
+@query("select count_if(score >= 0.55)::bigint as false_alarms, count(*) as n from hits where rank = 1 and is_negative")
 def hard_neg_fp(t):
-    return t.hits.where("rank = 1 and query_id % 4 < 2").agg(F.count_if(F.col("score") >= 0.55).alias("false_alarms"), F.count(F.lit(1)).alias("n"))
+    return t.hits.where("rank = 1 and is_negative").agg(F.count_if(F.col("score") >= 0.55).alias("false_alarms"), F.count(F.lit(1)).alias("n"))
 
 
 @query("""with floors as (select unnest([0.0, 0.4, 0.45, 0.5, 0.55, 0.6, 0.65, 0.7])::double as floor),
   kept as (select floor, h.*, row_number() over (partition by floor, query_id order by rank) as r from hits h, floors where score >= floor),
   rec as (select f.floor, round(avg(exists (select 1 from kept k join gold g on g.query_id = k.query_id and g.path = k.path where k.r <= 5 and k.floor = f.floor and k.query_id = q.query_id)::int), 6) as recall from floors f, (select distinct query_id from gold) q group by 1)
-  select floor, recall, (select count_if(score >= floor)::bigint from hits where rank = 1 and query_id % 4 = 3) as false_alarms, (select count(*) from hits where rank = 1 and query_id % 4 = 3) as n_negatives from rec""")
+  select floor, recall, (select count_if(score >= floor)::bigint from hits where rank = 1 and is_negative) as false_alarms, (select count(*) from hits where rank = 1 and is_negative) as n_negatives from rec""")
 def abstain_sweep(t):
-    return ev.floor_sweep(t.gold, t.hits, t.hits.where("rank = 1 and query_id % 4 = 3").select("query_id", "score"), [0.0, 0.40, 0.45, 0.50, 0.55, 0.60, 0.65, 0.70])
+    return ev.floor_sweep(t.gold, t.hits, t.hits.where("rank = 1 and is_negative").select("query_id", "score"), [0.0, 0.40, 0.45, 0.50, 0.55, 0.60, 0.65, 0.70])
 
 
 _SETS = "g as (select query_id as set_id, 'mod/' || path as path, 'layer' || (query_id + line_hi) % 2 as layer from gold), p as (select query_id as set_id, case when rank % 2 = 0 then './Mod/' || path when rank % 5 = 0 then 'other' || path else path end as path from hits), gn as (select set_id, layer, lower(path) as path from g), pn as (select set_id, lower(regexp_replace(path, '^[./]+', '')) as path from p), m as (select gn.set_id, gn.path as g, pn.path as p from gn join pn on gn.set_id = pn.set_id and (gn.path = pn.path or ends_with(gn.path, '/' || pn.path) or ends_with(pn.path, '/' || gn.path)))"

@@ -101,11 +101,11 @@ def extract_code_entities(t):
     return t.snippets.select("doc_id", F.array_join(text.code_entities(F.col("code")), "|").alias("entities"))
 
 
-_LOGS = "select conv_id, string_agg(rec, '' order by turn) as log from (select conv_id, turn, chr(1) || case when turn % 5 = 4 then 'torn' else 'sha' || cast(conv_id as string) || '-' || cast(turn as string) || chr(31) || role || ' <' || role || '@x.org>' || chr(31) || role || '@x.org' || chr(31) || case when turn % 3 = 2 then 'soon' else cast(1700000000 + turn as string) end || chr(31) || ' ' || substring(text, 1, 90) || ' ' || chr(31) || case when turn % 2 = 0 then '' else substring(text, 1, 40) || chr(10) end || chr(30) || chr(10) || 'src/a' || cast(turn as string) || '.rs' || chr(10) || chr(10) || ' b.md ' || chr(10) end as rec from conversations where text is not null) group by conv_id"
+_LOGS = "select conv_id, string_agg(rec, '' order by turn) as log from (select conv_id, turn, chr(1) || case when turn % 5 = 4 then 'torn' else 'sha' || cast(conv_id as string) || '-' || cast(turn as string) || chr(31) || role || ' <' || role || '@x.org>' || chr(31) || role || '@x.org' || chr(31) || case when turn % 3 = 2 then 'soon' else cast(1700000000 + turn as string) end || chr(31) || ' ' || split_part(text, chr(10), 1) || ' ' || chr(31) || case when turn % 2 = 0 then '' else text || chr(10) end || chr(30) || chr(10) || 'src/a' || cast(turn as string) || '.rs' || chr(10) || chr(10) || ' b.md ' || chr(10) end as rec from conversations where text is not null) group by conv_id"
 
 
 def _logs(t):
-    rec = "chr(1) || case when turn % 5 = 4 then 'torn' else 'sha' || cast(conv_id as string) || '-' || cast(turn as string) || chr(31) || role || ' <' || role || '@x.org>' || chr(31) || role || '@x.org' || chr(31) || case when turn % 3 = 2 then 'soon' else cast(1700000000 + turn as string) end || chr(31) || ' ' || substring(text, 1, 90) || ' ' || chr(31) || case when turn % 2 = 0 then '' else substring(text, 1, 40) || chr(10) end || chr(30) || chr(10) || 'src/a' || cast(turn as string) || '.rs' || chr(10) || chr(10) || ' b.md ' || chr(10) end"
+    rec = "chr(1) || case when turn % 5 = 4 then 'torn' else 'sha' || cast(conv_id as string) || '-' || cast(turn as string) || chr(31) || role || ' <' || role || '@x.org>' || chr(31) || role || '@x.org' || chr(31) || case when turn % 3 = 2 then 'soon' else cast(1700000000 + turn as string) end || chr(31) || ' ' || split_part(text, chr(10), 1) || ' ' || chr(31) || case when turn % 2 = 0 then '' else text || chr(10) end || chr(30) || chr(10) || 'src/a' || cast(turn as string) || '.rs' || chr(10) || chr(10) || ' b.md ' || chr(10) end"
     parts = t.conversations.where("text is not null").select("conv_id", F.struct("turn", F.expr(rec).alias("r")).alias("x"))
     return parts.groupBy("conv_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["r"]), "").alias("log"))
 

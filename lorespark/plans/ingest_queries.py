@@ -56,11 +56,9 @@ def vec_roundtrip(t):
     return t.embeddings.withColumn("back", back).select("vec_id", (F.col("back") == F.col("embedding")).alias("kept"), F.size("back").cast("long").alias("dim"))
 
 
-@query()
+@query("select page_id, list_reduce(list_transform(range(octet_length(encode(url))), lambda i: ('0x' || substr(hex(encode(url)), 2 * i + 1, 2))::hugeint), lambda h, x: (xor(h, x) * 1099511628211::hugeint) % 18446744073709551616::hugeint, 14695981039346656037::hugeint)::varchar as hash from pages")
 def fnv1a(t):
-    """Bucket of each document's source among 64."""
-
-    return t.documents.select("source").distinct().withColumn("v", vectors.hash_embed(64)(F.col("source"))).select("source", F.array_position("v", 1.0).alias("bucket"))
+    return t.pages.select("page_id", vectors.fnv1a_text(F.col("url")).alias("hash"))
 
 
 class _Flaky(ingest.HashEmbedder):
@@ -87,7 +85,12 @@ def ingest_counts(t):
 def _store(t, name: str) -> tables.Snapshots:
     from uuid import uuid4
 
-    base = t.spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.gettempdir()
+    sc = t.spark.sparkContext
+    base = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
+    if not base:
+        if not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        base = tempfile.gettempdir()
     return tables.Snapshots(t.spark, f"{base.rstrip('/')}/{name}-{uuid4().hex[:12]}")
 
 

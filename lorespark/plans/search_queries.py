@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lorespark.functions import text, vectors
-from lorespark.operators import graph, search, tree
+from lorespark.operators import graph, meta, search, tree
 from lorespark.plans.base import CODE_QUESTION, NOW, NS, QUESTION, SIG, first_vector, query
 
 _Q = "(select embedding::double[] from embeddings order by vec_id limit 1)"
@@ -101,11 +101,56 @@ def cosine_topk(t):
     return t.embeddings.withColumn("s", vectors.cosine(F.col("embedding"), q)).orderBy(F.desc("s"), "vec_id").limit(20).select("vec_id", F.round("s", 5).alias("score"))
 
 
-@query(f"select key, author, title, round({_OVERLAP('tion dans of un la', 'content')}, 6) as score from history_docs order by score desc, key limit 10")
+_WHY = "@user tion dans of un la"
+
+
+@query(f"""with cnt as (select document_id, count(distinct entity_id) as n from history_entities where namespace = 'repo:en:history' and entity_id = 'handle:user' group by 1),
+  s as (select c.document_id, chunk_id, 0.55 * (coalesce(n, 0) / (select max(n) from cnt)) + 0.30 * {_COS} + 0.15 * {_OVERLAP(_WHY, "text")} as score from history_chunks c left join cnt using (document_id) where namespace = 'repo:en:history' and model_signature = 'hash:64'),
+  b as (select * from s qualify row_number() over (partition by document_id order by score desc, chunk_id) = 1)
+  select d.key, d.title, d.author, round(b.score, 5) as score from b join history_docs d on d.document_id = b.document_id order by b.score desc, b.document_id limit 10""")
 def why(t):
-    """Search over the history: no vectors are kept for it here, so the blend's keyword part ranks."""
-    score = text.overlap("tion dans of un la", F.col("content"))
-    return t.history_docs.where(F.col("namespace") == "repo:en:history").withColumn("score", F.round(score, 6)).orderBy(F.desc("score"), "key").limit(10).select("key", "author", "title", "score")
+    """Hybrid search over the history."""
+    out = search.hybrid(t.history_docs, t.history_chunks, t.history_entities, f"{NS}:history", SIG, _WHY, first_vector(t))
+    return out.select("key", "title", "author", F.round("score", 5).alias("score"))
+
+
+@query(f"""with {_CAND}, {_DF}, prior as (select key, {_PRIOR} as prior from ({_PATHS} from memory_docs where namespace = 'repo:en')),
+  cnt as (select document_id, count(distinct entity_id) as n from chunk_entities where namespace = 'repo:en' and entity_id in ({", ".join(f"'{k}:{w}'" for w in text.identifiers(CODE_QUESTION) for k in ("sym", "import"))}) group by 1),
+  s as (select c.key as path, c.document_id, c.chunk_id, {_COS} as vector, (select sum(case when contains(lower(c.text), term) then idf else 0 end) / sum(idf) from idf) as keyword, prior, coalesce(n, 0) / (select max(n) from cnt) as graph,
+    case when n is not null and (select idf from idf where term = 'f17') >= 3.0 then 0.1 else 0 end as boost from cand c join prior p on p.key = c.key left join cnt on cnt.document_id = c.document_id)
+  select path, document_id, chunk_id, round((0.55 * graph + 0.30 * vector + 0.15 * keyword) * prior + boost, 5) as score from s order by (0.55 * graph + 0.30 * vector + 0.15 * keyword) * prior + boost desc, path, chunk_id limit 10""")
+def search_code_graph(t):
+    out = search.search_code(t.memory_docs, t.vector_chunks, t.chunk_entities, NS, SIG, CODE_QUESTION, first_vector(t), graph=True)
+    return out.select("path", "document_id", "chunk_id", F.round("score", 5).alias("score"))
+
+
+def _meta(t):
+    return t.meta_docs
+
+
+@query("select key, content as body from meta_docs where namespace = 'repo:en:meta' and key = 'conventions'")
+def get_conventions(t):
+    return meta.conventions(_meta(t), NS).select("key", F.col("content").alias("body"))
+
+
+@query("select document_id as node_id, 'digest' as tree_kind, 'architecture' as label, content as body from meta_docs where namespace = 'repo:en:meta' and key = 'architecture'")
+def architecture_cached(t):
+    return meta.architecture(_meta(t), t.tree_nodes, t.tree_edges, NS).select("node_id", "tree_kind", "label", "body")
+
+
+@query("select document_id as node_id, 'digest' as tree_kind, 'module:src' as label, content as body from meta_docs where namespace = 'repo:en:meta' and key = 'module:src'")
+def module_cached(t):
+    return meta.module(_meta(t), t.tree_nodes, t.tree_edges, NS, "src/").select("node_id", "tree_kind", "label", "body")
+
+
+@query("with newest as (select * from memory_docs where namespace = 'repo:en' order by updated_at desc, document_id limit 5000) select 'repo:en:meta' as namespace, 'module:src' as key, 'Architecture digest (mechanical fallback — LLM unavailable):' || chr(10) || string_agg('- ' || key || chr(10), '' order by key) as content from newest where meta is not null and key like 'src/%'")
+def rebuild_module(t):
+    return meta.rebuild_digest(t.memory_docs, NS, NOW, "src/").select("namespace", "key", "content")
+
+
+@query("with newest as (select * from memory_docs where namespace = 'repo:en' order by updated_at desc, document_id limit 1000) select 'repo:en:meta' as namespace, 'conventions' as key, 'Conventions (mechanical fallback — LLM unavailable):' || chr(10) || string_agg('- config present: ' || key || ' (evidence: ' || key || ')' || chr(10), '' order by key) as content from newest where key like '%/rustfmt.toml'")
+def rebuild_conventions(t):
+    return meta.rebuild_conventions(t.memory_docs, t.tree_nodes, t.tree_edges, NS, NOW).select("namespace", "key", "content")
 
 
 _CALLS = "calls as (select src_doc_id as doc, dst_sym, confidence from code_edges where namespace = 'repo:en' and edge_kind = 'CALLS'), defs as (select distinct document_id as doc, entity_id as sym from chunk_entities where namespace = 'repo:en' and entity_id like 'sym:%')"
@@ -130,6 +175,12 @@ def callers_min_conf(t):
     return graph.callers(t.memory_docs, t.code_edges, t.chunk_entities, NS, "sym:F17", depth=3).where("confidence >= 0.6")
 
 
+@query(_callers_sql(""))
+def trace_symbol(t):
+    """Deeper than any traversal goes is cut, here at what the tables reach."""
+    return graph.trace(t.memory_docs, t.code_edges, t.chunk_entities, NS, symbol="F17", direction="callers", depth=3)
+
+
 START = "src/src1/f1.rs"
 
 

@@ -69,6 +69,13 @@ LOGICAL = {
     "history_docs": """
       select 'h' || cast(conv_id as string) || '-' || cast(turn as string) as document_id, 'repo:en:history' as namespace, 'commit:' || cast(conv_id as string) || '-' || cast(turn as string) as key,
         substring(text, 1, 72) as title, text as content, role as author, conv_id, turn from {conversations}""",
+    "history_chunks": """
+      select h.namespace, h.document_id, h.document_id || '#0' as chunk_id, h.content as text, e.embedding, 'hash:64' as model_signature, h.conv_id, h.turn
+      from {history_docs} h cross join (select count(*) as m, min(vec_id) as low from {embeddings}) c join {embeddings} e on e.vec_id = c.low + (h.conv_id * 7 + h.turn) % c.m""",
+    "history_entities": "select namespace, document_id || '#0' as chunk_id, document_id, 'handle:' || author as entity_id from {history_docs}",
+    "meta_docs": """
+      select 'm' || document_id as document_id, namespace || ':meta' as namespace, case when document_id like '%1' then 'architecture-' || document_id else 'module:' || key end as key, title, content
+      from {memory_docs} union all select 'mconv', 'repo:en:meta', 'conventions', 'conventions', 'Use tabs.' union all select 'march', 'repo:en:meta', 'architecture', 'architecture', 'All of it.' union all select 'mmod', 'repo:en:meta', 'module:src', 'module:src', 'The sources.'""",
     "mentions": "select conv_id, turn, 'ping @' || role || ' #c' || cast(conv_id % 7 as string) || ' see https://x.com/@a#s mail A.b' || cast(turn as string) || '@ex-am.org ' || text as text from {conversations}",
     "snippets": """
       select doc_id, 'use crate::m' || cast(doc_id % 11 as string) || ';' || chr(10) || 'pub async fn F' || cast(doc_id % 37 as string) || '() {{ g(); }}' || chr(10) || '  struct S' || cast(doc_id % 5 as string) || chr(10) || 'import {{ a }}' || chr(10)
@@ -79,7 +86,7 @@ LOGICAL = {
       from {benchmark} b cross join (select 0 as n union all select 1 union all select 2) g""",
     "hits": """
       select b.item_id as query_id, cast(r.n + 1 as int) as rank, 'f' || cast((b.item_id * 3 + r.n * 5) % 50 as string) || '.rs' as path, cast(r.n * 4 as int) as line_start, cast(r.n * 4 + 9 as int) as line_end,
-        cast(1.0 as double) / (r.n + 1 + b.item_id % 4) as score
+        cast(1.0 as double) / (r.n + 1 + b.item_id % 4) as score, b.item_id % 4 in (0, 1, 3) as is_negative
       from {benchmark} b cross join (select 0 as n union all select 1 union all select 2 union all select 3 union all select 4 union all select 5 union all select 6 union all select 7 union all select 8 union all select 9 union all select 10 union all select 11) r""",
 }
 

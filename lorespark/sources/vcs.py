@@ -67,3 +67,19 @@ def source_files(spark: SparkSession, folder: str) -> DataFrame:
     text = F.when(F.is_valid_utf8(F.col("content").cast("string")), F.col("content").cast("string"))
     ok = paths.should_index(F.col("path"), F.col("length"))
     return found.select("path", F.col("length").alias("n_bytes"), F.when(ok, text).alias("content"), (ok & text.isNotNull()).alias("indexable"))
+
+
+def read_marker(spark: SparkSession, path: str) -> str | None:
+    """The revision that was read last, from its marker file; None before the first."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    if not at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at):
+        return None
+    return (spark.read.text(path, wholetext=True).first() or ("",))[0].strip() or None
+
+
+def write_marker(spark: SparkSession, path: str, revision: str) -> None:
+    """Replace the marker, after all that belongs to the revision is committed."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    out = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(at, True)
+    out.write(bytearray(revision.encode()))
+    out.close()

@@ -176,3 +176,70 @@ def test_against_oracle(spark, name):
 
 def test_names_are_unique():
     assert set(registry.oracle_sql()) <= set(registry.queries()) and len(registry.queries()) > 100
+
+
+def test_rival_commits_are_refused(spark, tmp_path):
+    rows = lambda *x: spark.createDataFrame([(i,) for i in x], "a int")
+    store = tables.Snapshots(spark, str(tmp_path / "store"))
+    assert store.version() == 0 and store.read("t") is None
+    assert store.commit({"t": rows(1), "u": rows(7)}) == 1
+    rival = tables.Snapshots(spark, str(tmp_path / "store"))
+    base = rival.version()
+    assert store.commit({"t": rows(1, 2)}) == 2
+    with pytest.raises(RuntimeError, match="another writer"):
+        rival.commit({"t": rows(9)}, base)
+    assert sorted(r.a for r in store.read("t").collect()) == [1, 2] and store.read("u").count() == 1 and store.read("t", 1).count() == 1
+    assert rival.commit({"t": rows(9)}) == 3 and store.read("t").first().a == 9
+    left = [f for f in (tmp_path / "store" / "manifest").iterdir() if "draft" in f.name and not f.name.endswith(".crc")]
+    assert not left
+
+
+def test_hashes_of_a_batch_are_those_of_each():
+    some = [b"", b"a", "h\u00e9llo".encode(), b"x" * 300, b"memory", b"rust"]
+    assert vectors.fnv1a_all(some).tolist() == [fnv1a(x) for x in some] and vectors.fnv1a_all([]).tolist() == []
+    texts = ["a A b", "", "one two one \u00e9"]
+    assert [v.tolist() for v in vectors.hash_vectors(texts, 8)] == [[float(sum(fnv1a(w.encode()) % 8 == k for w in t.lower().split())) for k in range(8)] for t in texts]
+
+
+def test_age_seals_what_is_left(spark):
+    rows = [("n", "global", "global", i, f"l{i}", f"line {i}", None, f"d{i}", 40, float(i)) for i in range(5)]
+    leaves = spark.createDataFrame(rows, "namespace string, tree_kind string, tree_key string, seq long, node_id string, body string, label string, doc_id string, token_count long, created_at double")
+    gates = tree.Gates(tokens=80, fanout=10, age=100.0)
+    sealed = lambda **kw: sorted(r.node_id for r in tree.seal_cascade(leaves, gates, **kw).where("sealed").collect())
+    assert sealed() == ["l0", "l1", "l2", "l3"] == sealed(now=103.0) and sealed(now=104.0) == ["l0", "l1", "l2", "l3", "l4"]
+
+
+class Answers:
+    def __init__(self, answer):
+        self.answer = answer
+
+    def summarize(self, prompt, max_tokens):
+        if self.answer is None:
+            raise RuntimeError("down")
+        return self.answer
+
+
+@pytest.mark.parametrize("answer, body", [("Words.", "Words."), ("  ", None), (None, None)])
+def test_meta_verbs(spark, answer, body):
+    from lorespark.operators import meta
+
+    docs = spark.createDataFrame([(f"d{i}", "n", k, k, "text", "x", "internal", 1.0, 2.0, '{"kind":"file"}') for i, k in enumerate(["src/b.rs", "src/a.rs", "lib/c.rs", "tsconfig.json"])], "document_id string, namespace string, key string, title string, content string, author string, taint string, created_at double, updated_at double, meta string")
+    audit: list = []
+    new = meta.rebuild_digest(docs, "n", 5.0, "src/", Answers(answer), audit=audit)
+    assert audit[0]["status"] == ("error" if answer is None else "ok")
+    held = meta.upsert(docs, new)
+    want = body or meta.DIGEST_HEAD + "- src/a.rs\n- src/b.rs\n"
+    assert meta.module(held, None, None, "n", "src").first().body == want and held.count() == 5
+    again = meta.upsert(held, meta.rebuild_digest(docs, "n", 6.0, "src", Answers("New.")))
+    assert again.count() == 5 and meta.module(again, None, None, "n", "src/").first().body == "New."
+    assert meta.conventions(held, "n").isEmpty()
+
+
+def test_marker(spark, tmp_path):
+    from lorespark.sources import vcs
+
+    at = str(tmp_path / "marks" / "last")
+    assert vcs.read_marker(spark, at) is None
+    vcs.write_marker(spark, at, "abc")
+    vcs.write_marker(spark, at, "def\n")
+    assert vcs.read_marker(spark, at) == "def"
