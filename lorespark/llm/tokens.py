@@ -19,9 +19,11 @@ from lorespark.llm.common import small_batches
 
 #: Bytes that a worker's memory of chunks may take, and that of pre-tokens beside the proven ones: the first that it
 #: meets. Each entry counts ENTRY bytes besides its own; longer ones than LONGEST are never kept. Results don't depend on it.
-MEMO, ENTRY, LONGEST = 64 << 20, 200, 64
+MEMO, ENTRY, LONGEST = 48 << 20, 200, 64
 #: Pre-tokens that one call of the library encodes: it holds some hundred bytes for each byte of its input.
 CALL = 2000
+#: Unseen chunks that are taken apart at once.
+PART = 1 << 12
 LIMIT = 2048
 #: Texts without any of these have a plain normal form: lower case of each character, nothing to compose.
 _BEYOND = re.compile("[^\\t\\n\\x0b\\x0c\\r\\x20-\\x7e\\xa1-\\xac\\xae-\\u024f]")
@@ -165,8 +167,11 @@ class Encoder:
         first = np.zeros(len(got), np.int64)
         first[~unseen] = np.cumsum(size[~unseen]) - size[~unseen]
         raw = b""
+        del got
         if fresh:
-            raw, sizes = self._learn(fresh)
+            parts = [self._learn(fresh[i : i + PART]) for i in range(0, len(fresh), PART)]
+            raw, sizes = b"".join(x for x, _ in parts), np.concatenate([x for _, x in parts])
+            del parts
             size[unseen] = sizes
             at = np.cumsum(sizes) - sizes
             first[unseen] = at + len(old)
@@ -188,6 +193,7 @@ class Encoder:
             return np.concatenate([np.empty(0, "<u4"), *each]), np.cumsum([0, *map(len, each)])
         words, at, starts = self._chunks(texts)
         flat, first, size = self._known(words, self.chunks)
+        del words
         ends = np.concatenate([[0], np.cumsum(size[at])])
         ids, shift = np.empty(ends[-1], "<u4"), first[at] - ends[:-1]
         for i in range(0, len(at), 1 << 17):  # the places of some chunks' ids at once
@@ -204,12 +210,12 @@ class Encoder:
         size = np.fromiter((self.sizes.get(c, -1) for c in words), np.int64, len(words))
         if (unseen := np.flatnonzero(size < 0)).size:
             fresh = [words[i] for i in unseen.tolist()]
-            size[unseen] = self._weigh(fresh)
+            size[unseen] = np.concatenate([self._weigh(fresh[i : i + PART]) for i in range(0, len(fresh), PART)])
             self._keep(self.sizes, zip(fresh, size[unseen].tolist(), strict=True))
         return np.diff(np.concatenate([[0], np.cumsum(size[at])])[starts])
 
 
-def gathered(batches: Iterator[pa.RecordBatch], column: int, most: int = 6 << 20) -> Iterator[pa.RecordBatch]:
+def gathered(batches: Iterator[pa.RecordBatch], column: int, most: int = 8 << 20) -> Iterator[pa.RecordBatch]:
     """The same rows in batches of about ``most`` bytes in a column: enough for few distinct chunks, and no more than
     that and one row. Arrow's pool gives back what a batch took before the next is read."""
     held: list[pa.RecordBatch] = []
