@@ -115,7 +115,8 @@ def audit_rows(t):
     return audited(t.jobs, "x").select(F.col("job_id").alias("key"), "app", "status")
 
 
-@query()
+@query("""with h as (select document_id, list_transform(range(octet_length(encode(key))), lambda i: substr(hex(encode(key)), 2 * i + 1, 2)) as bytes from memory_docs)
+  select document_id, array_to_string(list_transform(bytes, lambda b: case when b between '30' and '39' or b between '41' and '5A' or b between '61' and '7A' then chr(('0x' || b)::int) else '%' || b end), '') as url from h""")
 def by_key_url(t):
     return t.memory_docs.select("document_id", vectors.url_key(F.col("key")).alias("url"))
 
