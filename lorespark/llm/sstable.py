@@ -210,7 +210,7 @@ class Shard:
 def write_tokens(docs: DataFrame, out_dir: str, path: str | None = None, id_col: str = "doc_id", text_col: str = "text", end_id: int = END_ID, shard_bytes: int = SHARD_BYTES) -> None:
     """Encode every whole text, append ``end_id`` and write shards in ascending id order below ``out_dir``.
 
-    Documents are dealt by ranges of (id, hash of the text, input row), so file order and key order agree and one id
+    Documents are dealt by ranges of (id, hash of the text, input partition), so file order and key order agree and one id
     on many rows is dealt to many shards; each task holds one block, and a shard knows its place. A null or empty
     text is a document of the end id alone. Repeated ids stay repeated keys, ordered by the text's hash; if any id
     is null all are numbered first (``with_uid``), nulls before others.
@@ -253,7 +253,7 @@ def write_numbered(docs: DataFrame, out_dir: str, path: str | None = None, end_i
     size = docs.agg(F.sum(F.octet_length(F.col("t").cast("binary")))).first()[0] or 0
     spark = docs.sparkSession
     n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // shard_bytes))
-    keyed = docs.select("uid", F.col("t").cast("string").alias("t"), F.xxhash64("t").alias("_tag"), F.monotonically_increasing_id().alias("_row"))
+    keyed = docs.select("uid", F.col("t").cast("string").alias("t"), F.xxhash64("t").alias("_tag"), F.spark_partition_id().alias("_row"))
     dealt = keyed.repartitionByRange(n, "uid", "_tag", "_row").sortWithinPartitions("uid", "_tag")
     dealt.select("uid", "t").mapInArrow(run, "segment binary").select(F.col("segment").cast("string").alias("value")).write.option("compression", "none").text(out_dir)
 
