@@ -1,10 +1,12 @@
-"""Bounded traversals of the call graph, one join for each level."""
+"""Bounded traversals of the call graph, one join for each level, whose narrow result is kept for the next."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lorespark.sources.shared import saved
+
 # Fixed value: no traversal goes deeper.
 MAX_DEPTH = 4
 HOP = ["path", "document_id", "sym", "edge_kind", "confidence", "depth"]
@@ -31,6 +33,7 @@ def callers(docs: DataFrame, edges: DataFrame, entities: DataFrame, namespace: s
         hop = reached.groupBy(F.col("src_doc_id").alias("document_id")).agg(best.alias("b")).select("document_id", "b.sym", "b.confidence", F.lit(level).alias("depth"))
         if seen is not None:
             hop = hop.join(seen.select("document_id"), "document_id", "left_anti")
+        hop = saved(hop)
         seen = hop if seen is None else seen.unionByName(hop)
         if level < min(depth, MAX_DEPTH):
             frontier = defines.join(hop.select("document_id"), "document_id").select("sym").distinct()
@@ -53,7 +56,7 @@ def callees(docs: DataFrame, edges: DataFrame, entities: DataFrame, namespace: s
         open_ends = loose if open_ends is None else open_ends.unionByName(loose)
         best = F.min_by(F.struct("dst_sym", "confidence"), F.struct("dst_sym", -F.col("confidence")))
         hop = out.where("dst is not null").groupBy(F.col("dst").alias("document_id")).agg(best.alias("b")).select("document_id", F.col("b.dst_sym").alias("sym"), "b.confidence", F.lit(level).alias("depth"))
-        hop = hop.join(seen.select("document_id"), "document_id", "left_anti")
+        hop = saved(hop.join(seen.select("document_id"), "document_id", "left_anti"))
         seen, frontier = seen.unionByName(hop), hop.select("document_id")
     top = seen.where("depth > 0").orderBy("depth", "document_id").limit(limit)
     found = top.join(own, "document_id", "left").select(F.coalesce("key", "document_id").alias("path"), "document_id", "sym", "confidence", "depth")

@@ -5,11 +5,13 @@ from __future__ import annotations
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lorespark.functions import paths, text, vectors
+from lorespark.sources.shared import saved
 
 BUFFER = ["namespace", "tree_kind", "tree_key"]
 
@@ -70,35 +72,155 @@ def summaries(children: DataFrame, by: list[str], kind: str = "tree_kind", max_c
     return out.withColumn("label", own).drop("p", "l")
 
 
+#: A buffer and the state before a piece of it: tokens since the last seal, seals so far.
+_KEY = ", ".join(f"{c} string" for c in BUFFER)
+_EXIT = f"piece int, place long, {_KEY}, alone boolean, need long, total long, seals long"
+
+
+def _runs(parts: Iterator[pd.DataFrame]) -> Iterator[tuple[tuple, np.ndarray]]:
+    """Buffers of a sorted piece with the tokens of their rows, as they come: a buffer in several batches comes several times."""
+    for p in parts:
+        keys = p[BUFFER]
+        first = np.flatnonzero((keys != keys.shift()).any(axis=1).to_numpy()).tolist()
+        tokens = p["token_count"].to_numpy(np.int64)
+        for a, b in zip(first, [*first[1:], len(p)], strict=True):
+            yield tuple(keys.iloc[a]), tokens[a:b]
+
+
+def _walk(tokens: np.ndarray, budget: int, total: int, seals: int) -> tuple[np.ndarray, int, int]:
+    """Seals before each row, and the state after the last, from a state before the first."""
+    upto, at, out = np.cumsum(tokens), 0, np.empty(len(tokens), np.int64)
+    base = -total
+    while at < len(tokens):
+        end = max(at, int(np.searchsorted(upto, base + budget)))
+        out[at : end + 1] = seals
+        if end == len(tokens):
+            break
+        seals, base, at = seals + 1, int(upto[end]), end + 1
+    return out, (int(upto[-1]) if len(upto) else 0) - base, seals
+
+
+def _exits(budget: int):
+    """What each piece does to a buffer that began before it.
+
+    A piece with several buffers ends in a state that doesn't depend on what came before: one row. A piece within one
+    buffer does depend on it, but only through the row of its first seal: one row for each that can be it, that is
+    up to the first one with the whole budget before it, and one (need null) for no seal at all. Numbers of the
+    piece's rows are held, 8 bytes each.
+    """
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        piece, first, last, total, seals, held = None, None, None, 0, 0, []
+
+        def note(p: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            nonlocal piece
+            for x in p:
+                if len(x):
+                    piece = int(x["piece"].iloc[0])
+                    yield x
+
+        for key, tokens in _runs(note(parts)):
+            first = first or key
+            if key != last:
+                last, total, seals = key, 0, 0
+            if key == first:
+                held.append(tokens)
+            _, total, seals = _walk(tokens, budget, total, seals)
+        if piece is None:
+            return
+        row = {"piece": piece, **dict(zip(BUFFER, last, strict=True)), "alone": first == last}
+        if first != last:
+            yield pd.DataFrame([{**row, "place": 0, "need": None, "total": total, "seals": seals}]).astype({"need": "Int64"})
+            return
+        upto = np.cumsum(np.concatenate(held))
+        n = len(upto)
+        heads = np.arange(min(n, int(np.searchsorted(upto, budget)) + 1))
+        following = np.maximum(np.searchsorted(upto, upto + budget), np.arange(1, n + 1))
+        at, count = heads.copy(), np.ones(len(heads), np.int64)
+        while (more := following[at] < n).any():
+            at[more] = following[at[more]]
+            count[more] += 1
+        out = pd.DataFrame({"place": heads, "need": pd.array(upto[heads], "Int64"), "total": upto[-1] - upto[at], "seals": count})
+        none = pd.DataFrame({"place": [n], "need": pd.array([None], "Int64"), "total": [upto[-1]], "seals": [0]})
+        yield pd.concat([out, none]).assign(**row)
+
+    return run
+
+
+def _entries(budget: int):
+    """The state before each piece, from rows of ``_exits`` in order of (piece, place); one row is held at a time."""
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        piece, state, after = None, (None, 0, 0), None
+        for p in parts:
+            out = []
+            for r in p.itertuples(index=False):
+                key = tuple(getattr(r, c) for c in BUFFER)
+                if r.piece != piece:
+                    state, after, piece = after or state, None, r.piece
+                    out.append((piece, *(state[0] or [None] * len(BUFFER)), state[1], state[2]))
+                if after is None:
+                    total, seals = (state[1], state[2]) if state[0] == key else (0, 0)
+                    if not r.alone:
+                        after = (key, r.total, r.seals)
+                    elif pd.isna(r.need):
+                        after = (key, total + r.total, seals)
+                    elif total + r.need >= budget:
+                        after = (key, r.total, seals + r.seals)
+            yield pd.DataFrame(out, columns=["piece", *(f"_{c}" for c in BUFFER), "_total", "_seals"])
+
+    return run
+
+
 def _fold(budget: int):
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        buffer, total, seal = None, 0, 0
+        last, total, seals = None, 0, 0
         for p in parts:
-            seals = []
-            for key, tokens in zip(zip(*(p[c] for c in BUFFER), strict=True), p["token_count"], strict=True):
-                if key != buffer:
-                    buffer, total, seal = key, 0, 0
-                total += tokens
-                seals.append(seal)
-                if total >= budget:
-                    total, seal = 0, seal + 1
-            yield pd.DataFrame({**{c: p[c] for c in BUFFER}, "node_id": p["node_id"], "group": seals})
+            if not len(p):
+                continue
+            if last is None:
+                r = p.iloc[0]
+                last, total, seals = tuple(r[f"_{c}"] for c in BUFFER), int(r["_total"]), int(r["_seals"])
+            groups = []
+            for key, tokens in _runs(iter([p])):
+                if key != last:
+                    last, total, seals = key, 0, 0
+                out, total, seals = _walk(tokens, budget, total, seals)
+                groups.append(out)
+            yield pd.DataFrame({**{c: p[c] for c in BUFFER}, "node_id": p["node_id"], "group": np.concatenate(groups)})
 
     return run
 
 
+def leaf_groups(leaves: DataFrame, budget: int) -> DataFrame:
+    """(buffer, node_id, group): how many seals of its buffer came before each leaf, in order of (seq, node_id).
+
+    A buffer is sealed as soon as its tokens reach the budget, so a leaf's group depends on all before it. Leaves are
+    dealt by ranges of (buffer, seq), so that a tree with most of them is spread; each piece tells what it does to a
+    buffer that began before it, one task passes the state from piece to piece, and the pieces number their leaves
+    from there. Only ids and numbers are dealt. Null token counts are 0, buffers' keys null or not.
+    """
+    light = leaves.select(*BUFFER, "seq", "node_id", F.coalesce(F.col("token_count").cast("long"), F.lit(0)).alias("token_count"))
+    n = int(leaves.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    order = [*BUFFER, "seq", "node_id"]
+    dealt = light.repartitionByRange(n, *order).sortWithinPartitions(*order).withColumn("piece", F.spark_partition_id())
+    dealt = saved(dealt.select("piece", *BUFFER, "node_id", "token_count"))
+    exits = dealt.select("piece", *BUFFER, "token_count").mapInPandas(_exits(budget), _EXIT)
+    one = exits.repartition(1).sortWithinPartitions("piece", "place")
+    states = one.mapInPandas(_entries(budget), f"piece int, {', '.join(f'_{c} string' for c in BUFFER)}, _total long, _seals long")
+    states = F.broadcast(saved(states))  # one row for each piece
+    return dealt.join(states, "piece").mapInPandas(_fold(budget), f"{_KEY}, node_id string, group long")
+
+
 def seal_cascade(leaves: DataFrame, gates: Gates = Gates(), now: float | None = None) -> DataFrame:
     """All nodes of the trees after these leaves (node_id, seq, body, label, token_count, doc_id) came in order of seq.
 
-    A buffer of leaves is sealed as soon as its tokens reach the gate, which depends on all before it: one pass over
-    sorted (buffer, seq, tokens), streamed with a running total, so a buffer of any size needs no memory and its
-    texts stay where they are. With ``now``, what is left of a buffer is sealed too if its oldest leaf (created_at) is
+    A buffer of leaves is sealed as soon as its tokens reach the gate (``leaf_groups``). With ``now``, what is left of a buffer is sealed too if its oldest leaf (created_at) is
     older than the gates' age; parents are new, so age seals leaves only. Above, parents come one by one, so every ``fanout`` of them make a full buffer; their
     groups follow from their numbers.
     """
     budget = gates.tokens
-    light = leaves.select(*BUFFER, "seq", "node_id", "token_count").repartition(*BUFFER).sortWithinPartitions(*BUFFER, "seq")
-    groups = light.mapInPandas(_fold(budget), ", ".join(f"{c} string" for c in BUFFER) + ", node_id string, group long")
+    groups = leaf_groups(leaves, budget)
     level = leaves.withColumn("level", F.lit(0)).join(groups, [*BUFFER, "node_id"])
     columns = [*BUFFER, "level", "node_id", "seq", "body", "label", "doc_id", "token_count", "group", "full"]
     w = Window.partitionBy(*BUFFER, "group")
@@ -111,7 +233,7 @@ def seal_cascade(leaves: DataFrame, gates: Gates = Gates(), now: float | None =
         parents = fold(level.where("full"), [*BUFFER, "group"], max_chars=gates.summary_chars)
         parents = parents.select(*BUFFER, F.lit(depth).alias("level"), F.concat_ws("/", *BUFFER, F.lit(str(depth)), "group").alias("node_id"), F.col("group").alias("seq"), "body", "label", F.lit(None).cast("string").alias("doc_id"), text.approx_tokens(F.col("body")).alias("token_count"))
         parents = parents.withColumn("group", F.floor(F.col("seq") / gates.fanout)).withColumn("full", F.count(F.lit(1)).over(w) >= gates.fanout).select(*columns)
-        parents = parents.checkpoint() if parents.sparkSession.sparkContext.getCheckpointDir() else parents
+        parents = saved(parents)
         if parents.isEmpty():
             break
         level = parents
@@ -140,12 +262,11 @@ def latest_leaves(nodes: DataFrame, position: list[str]) -> DataFrame:
 
 def drill_down(nodes: DataFrame, edges: DataFrame, namespace: str, vector: list[float] | None = None, kind: str = "global", key: str = "global", depth: int = 3, limit: int = 10) -> DataFrame:
     """From a tree's top down to ``depth`` levels below, with fresh leaves, the latest of each document, by similarity or in tree order."""
-    found = None
-    frontier = top_nodes(nodes, namespace, kind, key)
-    for level in range(depth + 1):
-        at = frontier.withColumn("at", F.lit(level))
-        found = at if found is None else found.unionByName(at)
-        frontier = children(nodes, edges, frontier)
+    reached = frontier = saved(top_nodes(nodes, namespace, kind, key).select("node_id", F.lit(0).alias("at")))
+    for level in range(1, depth + 1):  # ids alone; bodies and vectors are fetched once, at the end
+        frontier = saved(children(nodes.select("node_id"), edges, frontier).withColumn("at", F.lit(level)))
+        reached = reached.unionByName(frontier)
+    found = nodes.join(reached, "node_id").select(*nodes.columns, "at")
     own = (F.col("namespace") == namespace) & (F.col("tree_kind") == kind) & (F.col("tree_key") == key)
     top = F.broadcast(nodes.where(own).agg(F.max("level").alias("top")))  # one row
     fresh = nodes.where(own & ~F.col("sealed") & (F.col("level") == 0)).crossJoin(top).where("top > 0").drop("top").withColumn("at", F.lit(depth + 1))

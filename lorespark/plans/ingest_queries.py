@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import functions as F
 
 from lorespark.functions import paths, vectors
 from lorespark.operators import chunking, ingest, symbols, tables
 from lorespark.plans.base import NOW, query
 from lorespark.sources import vcs
+from lorespark.sources.shared import shared_dir
 
 
 def _digest(c):
@@ -85,13 +84,7 @@ def ingest_counts(t):
 def _store(t, name: str) -> tables.Snapshots:
     from uuid import uuid4
 
-    sc = t.spark.sparkContext
-    base = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
-    if not base:
-        if not sc.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        base = tempfile.gettempdir()
-    return tables.Snapshots(t.spark, f"{base.rstrip('/')}/{name}-{uuid4().hex[:12]}")
+    return tables.Snapshots(t.spark, f"{shared_dir(t.spark)}/{name}-{uuid4().hex[:12]}")
 
 
 @query()

@@ -14,7 +14,7 @@ from lorespark.operators import ingest, tables, tree
 
 
 def consolidate(store: tables.Snapshots, embedder: ingest.Embedder, now: float, code: bool = False):
-    """For ``foreachBatch``: documents (as in memory_docs) go into the store, then the leaves of their trees are listed anew; sealing is a batch job over that table (``tree.seal_cascade``)."""
+    """For ``foreachBatch``: documents (as in memory_docs) go into the store, then their leaves take the place of those they had; sealing is a batch job over that table (``tree.seal_cascade``)."""
 
     def step(batch: DataFrame, number: int) -> None:
         done = store.read("batches")
@@ -22,10 +22,17 @@ def consolidate(store: tables.Snapshots, embedder: ingest.Embedder, now: float,
             return
         fresh = tables.last_of(batch, ["namespace", "key"], ["updated_at", "document_id"])
         ingest.commit(store, ingest.ingest(fresh, embedder, now), "queue", now)
-        leaves = tree.fan_out(store.read("docs"), store.read("chunks"), store.read("entities"), code)
+        touched = store.read("docs").join(fresh.select("namespace", "key"), ["namespace", "key"], "left_semi")
+        ids = touched.select("namespace", "document_id")
+        chunks, entities = (store.read(k).join(ids, ["namespace", "document_id"], "left_semi") for k in ("chunks", "entities"))
+        leaves = tree.fan_out(touched, chunks, entities, code)
         leaves = leaves.withColumns({"node_id": F.concat_ws("/", "tree_kind", "tree_key", "chunk_id"), "seq": F.struct("created_at", "doc_id", "chunk_id"), "label": F.lit(None).cast("string")})
         mark = batch.sparkSession.createDataFrame([(number,)], "number long")
-        store.commit({"leaves": leaves.drop("seq"), "batches": mark if done is None else done.unionByName(mark)})
+        old = store.read("leaves")
+        leaves = leaves.drop("seq")
+        if old is not None:  # leaves of other documents stay as they are
+            leaves = old.join(ids.withColumnRenamed("document_id", "doc_id"), ["namespace", "doc_id"], "left_anti").select(*leaves.columns).unionByName(leaves)
+        store.commit({"leaves": leaves, "batches": mark if done is None else done.unionByName(mark)})
 
     return step
 

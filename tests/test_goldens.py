@@ -126,6 +126,29 @@ def test_cascade(spark):
     assert next(r for r in got if r.level == 1 and r.seq == 0).body == "line 0; line 1; "
 
 
+@pytest.mark.parametrize("seed, budget, pieces", [(0, 30, 7), (1, 1, 3), (2, 200, 16), (3, 10_000, 5), (4, 0, 4)])
+def test_groups_of_leaves_over_many_pieces(spark, seed, budget, pieces):
+    import random
+
+    r = random.Random(seed)
+    keys = ["big"] * 12 + ["a", "b", None]
+    rows = [("n", "topic", r.choice(keys), i, f"l{i}", r.choice([0, 1, 3, 9, 40, None])) for i in range(600)]
+    leaves = spark.createDataFrame(rows, "namespace string, tree_kind string, tree_key string, seq long, node_id string, token_count long")
+    want, state = {}, {}
+    for _, _, key, _, node, tokens in rows:
+        total, seals = state.get(key, (0, 0))
+        want[node], total = seals, total + (tokens or 0)
+        state[key] = (0, seals + 1) if total >= budget else (total, seals)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", pieces)
+    try:
+        got = tree.leaf_groups(leaves, budget).collect()
+        assert tree.leaf_groups(leaves.where("seq < 0"), budget).isEmpty()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert len(got) == 600 and {x.node_id: x.group for x in got} == want
+
+
 def test_callers_and_callees(spark):
     docs = spark.createDataFrame([("n", x, f"{x}.rs") for x in ("leaf", "middle", "top")], "namespace string, document_id string, key string")
     ent = spark.createDataFrame([("n", x, f"sym:{x}") for x in ("leaf", "middle", "top")], "namespace string, document_id string, entity_id string")
