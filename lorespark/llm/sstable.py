@@ -246,6 +246,7 @@ def write_numbered(docs: DataFrame, out_dir: str, path: str | None = None, end_i
                     done.append(block)
             if done:
                 yield pa.RecordBatch.from_arrays([pa.array(done, pa.binary())], names=["segment"])
+            del b, flat, starts, ends, ids, is_end, raw, done  # before the next batch is read
         if some:
             for x in w.end():
                 yield pa.RecordBatch.from_arrays([pa.array([x], pa.binary())], names=["segment"])

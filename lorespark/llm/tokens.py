@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import json
 import os
 import re
@@ -215,16 +216,23 @@ class Encoder:
         return np.diff(np.concatenate([[0], np.cumsum(size[at])])[starts])
 
 
+def give_back() -> None:
+    """Free memory of Arrow's pool and of the C library goes back to the system, where that is known how to."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
+
+
 def gathered(batches: Iterator[pa.RecordBatch], column: int, most: int = 8 << 20) -> Iterator[pa.RecordBatch]:
     """The same rows in batches of about ``most`` bytes in a column: enough for few distinct chunks, and no more than
-    that and one row. Arrow's pool gives back what a batch took before the next is read."""
+    that and one row. What a batch took is given back before the next is read."""
     held: list[pa.RecordBatch] = []
     size = 0
 
     def whole() -> Iterator[pa.RecordBatch]:
         yield from pa.Table.from_batches(held).combine_chunks().to_batches()
         held.clear()
-        pa.default_memory_pool().release_unused()
+        give_back()
 
     for b in batches:
         upto = pc.fill_null(pc.binary_length(b.column(column)), 0).to_numpy(zero_copy_only=False).cumsum()
