@@ -43,6 +43,12 @@ def test_syntax_chunks():
     assert symbols.symbols(py, "python") == ["sym:A", "sym:f", "sym:g"]
 
 
+@pytest.mark.parametrize("deep", ["-" * 10_000 + "1", "not " * 10_000 + "x", "(" * 500])
+def test_python_too_deep_for_the_parser(deep):
+    code = f"def f():\n    return 1\nx = {deep}\n"
+    assert chunking.syntax_chunks(code, "python") == chunking.code_chunks(code) and symbols.symbols(code, "python") == ["sym:f"]
+
+
 DEFINED = {
     "javascript": ("function foo() {}\nexport default class A { constructor(x) { this.x = x; } bar(a, b) { if (a) { return b(); } } static async *gen() {} }\nconst o = { m() { return 1; } };\nlet z = function inner() {};\n", "A bar constructor foo gen m"),
     "typescript": ("export interface I { f(): void }\ntype T<A> = A | null;\nenum E { A }\nexport abstract class C<T> extends B { protected get y(): number { return 1; } abstract q(): void; }\nexport async function go<T>(a: T): Promise<T> { return a; }\n", "C E I T go y"),
