@@ -64,9 +64,13 @@ def apply_diff(docs: DataFrame, changes: DataFrame, contents: DataFrame, namespa
 def source_files(spark: SparkSession, folder: str) -> DataFrame:
     """Files under a folder: path, n_bytes, content, indexable; content is null where the bytes are no UTF-8 or too many."""
     found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
-    text = F.when(F.is_valid_utf8(F.col("content").cast("string")), F.col("content").cast("string"))
-    ok = paths.should_index(F.col("path"), F.col("length"))
-    return found.select("path", F.col("length").alias("n_bytes"), F.when(ok, text).alias("content"), (ok & text.isNotNull()).alias("indexable"))
+    size = F.col("length")
+    # both filters are decided from the listing: only files that may be indexed are opened
+    small = found.where(size <= paths.MAX_BYTES).select("path", "length", F.col("content").cast("string").alias("content"))
+    large = found.where(size > paths.MAX_BYTES).select("path", "length", F.lit(None).cast("string").alias("content"))
+    text = F.when(F.is_valid_utf8("content"), F.col("content"))
+    ok = paths.should_index(F.col("path"), size)
+    return small.unionByName(large).select("path", size.alias("n_bytes"), F.when(ok, text).alias("content"), (ok & text.isNotNull()).alias("indexable"))
 
 
 def read_marker(spark: SparkSession, path: str) -> str | None:

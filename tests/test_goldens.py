@@ -49,6 +49,23 @@ def test_python_too_deep_for_the_parser(deep):
     assert chunking.syntax_chunks(code, "python") == chunking.code_chunks(code) and symbols.symbols(code, "python") == ["sym:f"]
 
 
+def test_large_files_are_listed_but_not_opened(spark, tmp_path):
+    from lorespark.sources import vcs
+
+    (tmp_path / "a.rs").write_text("fn a() {}")
+    (tmp_path / "b.rs").write_bytes(b"\xff\xfe")
+    (tmp_path / "edge.rs").write_text("x" * paths.MAX_BYTES)
+    (tmp_path / "large.rs").write_text("x" * (paths.MAX_BYTES + 1))
+    (tmp_path / "yarn.lock").write_text("y")
+    spark.conf.set("spark.sql.sources.binaryFile.maxLength", paths.MAX_BYTES)  # opening a longer file is an error
+    try:
+        got = {r.path.split("/")[-1]: (r.n_bytes, r.indexable, r.content and len(r.content)) for r in vcs.source_files(spark, str(tmp_path)).collect()}
+    finally:
+        spark.conf.unset("spark.sql.sources.binaryFile.maxLength")
+    n = paths.MAX_BYTES
+    assert got == {"a.rs": (9, True, 9), "b.rs": (2, False, None), "edge.rs": (n, True, n), "large.rs": (n + 1, False, None), "yarn.lock": (1, False, None)}
+
+
 DEFINED = {
     "javascript": ("function foo() {}\nexport default class A { constructor(x) { this.x = x; } bar(a, b) { if (a) { return b(); } } static async *gen() {} }\nconst o = { m() { return 1; } };\nlet z = function inner() {};\n", "A bar constructor foo gen m"),
     "typescript": ("export interface I { f(): void }\ntype T<A> = A | null;\nenum E { A }\nexport abstract class C<T> extends B { protected get y(): number { return 1; } abstract q(): void; }\nexport async function go<T>(a: T): Promise<T> { return a; }\n", "C E I T go y"),
