@@ -14,6 +14,7 @@ from pyspark.sql.types import ArrayType, FloatType
 from lorespark.functions import paths, text
 from lorespark.functions.vectors import hash_vectors
 from lorespark.operators import chunking, jobs, symbols, tables
+from lorespark.sources.shared import small_batches
 
 
 class Embedder(Protocol):
@@ -78,6 +79,7 @@ def ingest(docs: DataFrame, embedder: Embedder, now: float) -> dict[str, DataFra
 
     Chunks whose embedding fails are left out; a document that loses all of its chunks has none.
     """
+    small_batches(docs.sparkSession)
     code = F.get_json_object("meta", "$.kind").eqNullSafe("file")
     known = docs.withColumns({"_code": code, "_lang": paths.lang_for_path(F.col("key"))})
     found = chunking.chunk(known, "document_id", "content", "_code", "_lang")

@@ -7,6 +7,7 @@ from lorespark.functions import paths, text, vectors
 from lorespark.functions.vectors import fnv1a, hash_vector
 from lorespark.operators import chunking, graph, ingest, jobs, symbols, tables, tree
 from lorespark.plans import registry
+from lorespark.sources.shared import frames
 
 SF = "/root/testdata/sf0.001"
 
@@ -49,6 +50,26 @@ def test_python_too_deep_for_the_parser(deep):
     assert chunking.syntax_chunks(code, "python") == chunking.code_chunks(code) and symbols.symbols(code, "python") == ["sym:f"]
 
 
+def test_texts_go_to_python_in_small_batches(spark):
+    import pandas as pd
+
+    # 2000 documents of 40 kB in one partition; the batches that reach Python after each operator
+    docs = spark.range(0, 2000, 1, 1).selectExpr("id as doc_id", "repeat('fn a() { b(); }\n', 2500) as code", "'rust' as lang", "true as is_code")
+    seen = lambda df: df.mapInPandas(lambda parts: (pd.DataFrame({"n": [len(p)], "size": [p["text"].str.len().sum()]}) for p in parts), "n long, size long").collect()
+    chunks = seen(chunking.chunk(docs.where("doc_id < 200"), "doc_id", "code"))
+    got = seen(docs.selectExpr("code as text"))
+    assert sum(r.n for r in got) == 2000 and max(r.n for r in got) <= 512 and max(r.size for r in got) < 9 << 20
+    assert sum(r.size for r in chunks) == 200 * len(("fn a() { b(); }\n" * 2500).strip()) and max(r.n for r in chunks) <= 512
+
+
+def test_frames_hold_no_more_than_asked():
+    drawn = []
+    rows = ((drawn.append(i), (i, "x" * 10))[1] for i in range(95))
+    found = frames(rows, ["i", "t"], text=1, most=200)
+    assert len(next(found)) == 20 == len(drawn) and [len(f) for f in found] == [20, 20, 20, 15] and len(drawn) == 95
+    assert [len(f) for f in frames(((i,) for i in range(7)), ["i"], count=3)] == [3, 3, 1] and not list(frames([], ["i"]))
+
+
 def test_large_files_are_listed_but_not_opened(spark, tmp_path):
     from lorespark.sources import vcs
 
