@@ -32,7 +32,8 @@ def fan_out(docs: DataFrame, chunks: DataFrame, entities: DataFrame, consolidate
     code = F.get_json_object("meta", "$.kind").eqNullSafe("file")
     held = entities.groupBy("namespace", "chunk_id").agg(F.array_sort(F.collect_set("entity_id")).alias("held"))
     about = docs.select("namespace", "document_id", "key", "author", code.alias("code"))
-    rows = chunks.join(about, ["namespace", "document_id"]).join(held, ["namespace", "chunk_id"], "left")
+    counted = chunks.withColumn("token_count", text.approx_tokens(F.col("text")))
+    rows = counted.join(about, ["namespace", "document_id"]).join(held, ["namespace", "chunk_id"], "left")
     if not consolidate_code:
         rows = rows.where(~F.col("code"))
     held = F.coalesce("held", F.array().cast("array<string>"))
@@ -40,8 +41,8 @@ def fan_out(docs: DataFrame, chunks: DataFrame, entities: DataFrame, consolidate
     tree = lambda kind, key: F.struct(F.lit(kind).alias("tree_kind"), key.alias("tree_key"))
     own = F.when(F.col("code"), tree("module", paths.dir_key(F.col("key")))).otherwise(tree("source", F.col("author")))
     every = F.concat(F.array(own, tree("global", F.lit("global"))), F.transform(topics, lambda e: tree("topic", e)))
-    out = rows.select("namespace", F.explode(every).alias("t"), "chunk_id", F.col("document_id").alias("doc_id"), "text", "created_at")
-    return out.select("namespace", "t.tree_kind", "t.tree_key", F.lit(0).alias("level"), "chunk_id", "doc_id", F.col("text").alias("body"), text.approx_tokens(F.col("text")).alias("token_count"), "created_at")
+    out = rows.select("namespace", F.explode(every).alias("t"), "chunk_id", F.col("document_id").alias("doc_id"), "text", "token_count", "created_at")
+    return out.select("namespace", "t.tree_kind", "t.tree_key", F.lit(0).alias("level"), "chunk_id", "doc_id", F.col("text").alias("body"), "token_count", "created_at")
 
 
 def seal_gate(nodes: DataFrame, now: float, gates: Gates = Gates()) -> DataFrame:
@@ -59,10 +60,11 @@ def summaries(children: DataFrame, by: list[str], kind: str = "tree_kind", max_c
     """A parent's body and label from its children (seq, body, label), for each group in ``by``.
 
     Body: the children's first lines that aren't blank, each followed by "; ", cut at ``max_chars``; groups are
-    sealed buffers, whose size the gates bound. Label: first line of the body in trees of sources and modules, the
+    sealed buffers, whose size the gates bound. Children with a column ``line`` bring that line, and their bodies
+    aren't read. Label: first line of the body in trees of sources and modules, the
     children's labels in the global tree, none in topics.
     """
-    line = F.substring(first_line(F.col("body")), 1, max_chars)
+    line = F.col("line") if "line" in children.columns else F.substring(first_line(F.col("body")), 1, max_chars)
     parts = F.array_sort(F.collect_list(F.when(line != "", F.struct("seq", line.alias("line")))))
     labels = F.array_join(F.array_sort(F.collect_set("label")), " · ")
     out = children.groupBy(*by).agg(parts.alias("p"), labels.alias("l"), F.count(F.lit(1)).alias("children"))
@@ -221,11 +223,13 @@ def seal_cascade(leaves: DataFrame, gates: Gates = Gates(), now: float | None =
     """
     budget = gates.tokens
     groups = leaf_groups(leaves, budget)
-    level = leaves.withColumn("level", F.lit(0)).join(groups, [*BUFFER, "node_id"])
+    # the line is cut before leaves are dealt, so that parents are made without shuffling bodies
+    line = F.substring(first_line(F.col("body")), 1, gates.summary_chars)
+    level = leaves.withColumns({"level": F.lit(0), "line": line}).join(groups, [*BUFFER, "node_id"])
     columns = [*BUFFER, "level", "node_id", "seq", "body", "label", "doc_id", "token_count", "group", "full"]
     w = Window.partitionBy(*BUFFER, "group")
     stale = F.lit(False) if now is None else F.min("created_at").over(w) <= now - gates.age
-    level = level.withColumn("full", (F.sum("token_count").over(w) >= budget) | stale).select(*columns)
+    level = level.withColumn("full", (F.sum("token_count").over(w) >= budget) | stale).select(*columns, "line")
     out, fold = None, summaries
     for depth in range(1, gates.max_level):
         nodes = level.select(*BUFFER, "level", "node_id", "seq", "body", "label", "doc_id", "token_count", F.col("full").alias("sealed"), F.when(F.col("full"), F.concat_ws("/", *BUFFER, F.lit(str(depth)), "group")).alias("parent_id"))

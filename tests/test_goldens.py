@@ -276,6 +276,32 @@ def test_age_seals_what_is_left(spark):
     assert sealed() == ["l0", "l1", "l2", "l3"] == sealed(now=103.0) and sealed(now=104.0) == ["l0", "l1", "l2", "l3", "l4"]
 
 
+def exchanged(df):
+    """The columns that each shuffle of a plan moves."""
+    import re
+
+    found = df.sparkSession._jvm.org.apache.spark.sql.api.python.PythonSQLUtils.explainString(df._jdf.queryExecution(), "formatted")
+    return re.findall(r"(?m)^\(\d+\) Exchange\s*\nInput \[\d+\]: \[(.*)\]$", found)
+
+
+NODES = "namespace string, tree_kind string, tree_key string, level int, seq long, sealed boolean, node_id string, body string, label string, doc_id string, token_count long, created_at double, embedding array<float>"
+
+
+def test_bodies_of_leaves_are_not_shuffled_for_their_parents(spark, monkeypatch):
+    rows = [("n", "global", "global", 0, i, False, f"l{i}", f" line {i} \nmore", None, f"d{i}", 40, 0.0, [1.0]) for i in range(6)]
+    leaves, plans, keep = spark.createDataFrame(rows, NODES).drop("level", "sealed"), [], tree.saved
+    monkeypatch.setattr(tree, "saved", lambda df: plans.append(exchanged(df)) or keep(df))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        out = tree.seal_cascade(leaves, tree.Gates(tokens=80, fanout=10))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    leaf = [x for p in plans for x in p if "node_id#" in x and "group#" not in x]  # parents have a group
+    assert leaf and not [x for x in leaf if "body#" in x]
+    got = {r.node_id: r.body for r in out.collect()}
+    assert got["l0"] == " line 0 \nmore" and got["n/global/global/1/0"] == "line 0; line 1; " and len(got) == 9
+
+
 class Answers:
     def __init__(self, answer):
         self.answer = answer
