@@ -267,16 +267,19 @@ def latest_leaves(nodes: DataFrame, position: list[str]) -> DataFrame:
 def drill_down(nodes: DataFrame, edges: DataFrame, namespace: str, vector: list[float] | None = None, kind: str = "global", key: str = "global", depth: int = 3, limit: int = 10) -> DataFrame:
     """From a tree's top down to ``depth`` levels below, with fresh leaves, the latest of each document, by similarity or in tree order."""
     reached = frontier = saved(top_nodes(nodes, namespace, kind, key).select("node_id", F.lit(0).alias("at")))
-    for level in range(1, depth + 1):  # ids alone; bodies and vectors are fetched once, at the end
+    for level in range(1, depth + 1):  # ids alone
         frontier = saved(children(nodes.select("node_id"), edges, frontier).withColumn("at", F.lit(level)))
         reached = reached.unionByName(frontier)
-    found = nodes.join(reached, "node_id").select(*nodes.columns, "at")
+    score = F.lit(0.0) if vector is None else vectors.cosine(F.col("embedding"), F.array(*(F.lit(float(x)) for x in vector)))
+    light = nodes.select("node_id", "namespace", "tree_kind", "tree_key", "level", "seq", "sealed", "label", "doc_id", "created_at", score.alias("score"))
+    found = light.join(reached, "node_id").select(*light.columns, "at")
     own = (F.col("namespace") == namespace) & (F.col("tree_kind") == kind) & (F.col("tree_key") == key)
     top = F.broadcast(nodes.where(own).agg(F.max("level").alias("top")))  # one row
-    fresh = nodes.where(own & ~F.col("sealed") & (F.col("level") == 0)).crossJoin(top).where("top > 0").drop("top").withColumn("at", F.lit(depth + 1))
+    fresh = light.where(own & ~F.col("sealed") & (F.col("level") == 0)).crossJoin(top).where("top > 0").drop("top").withColumn("at", F.lit(depth + 1))
     found = latest_leaves(found.unionByName(fresh), ["at", "seq"])
-    score = F.lit(0.0) if vector is None else vectors.cosine(F.col("embedding"), F.array(*(F.lit(float(x)) for x in vector)))
-    out = found.withColumn("score", score).orderBy(F.desc("score"), "at", "seq", "node_id").limit(limit)
+    order = [F.desc("score"), "at", "seq", "node_id"]
+    best = F.broadcast(found.orderBy(*order).limit(limit))  # at most ``limit`` rows: their bodies are fetched without a shuffle
+    out = nodes.select("node_id", "body").join(best, "node_id").orderBy(*order)
     return out.select("node_id", "tree_kind", "tree_key", "level", "label", "body", "doc_id", "score")
 
 

@@ -302,6 +302,19 @@ def test_bodies_of_leaves_are_not_shuffled_for_their_parents(spark, monkeypatch)
     assert got["l0"] == " line 0 \nmore" and got["n/global/global/1/0"] == "line 0; line 1; " and len(got) == 9
 
 
+@pytest.mark.parametrize("vector", [None, [1.0, 0.0]])
+def test_drill_down_shuffles_no_bodies(spark, vector):
+    rows = [("n", "global", "global", 0, i, i < 4, f"l{i}", f"body {i}", None, f"d{i % 5}", 40, float(i), [float(i), 1.0]) for i in range(6)]
+    rows += [("n", "global", "global", 1, i, False, f"p{i}", f"parent {i}", "x", None, 40, 9.0, [1.0, 1.0]) for i in range(2)]
+    edges = spark.createDataFrame([(f"p{i // 2}", f"l{i}") for i in range(4)], "parent_id string, child_id string")
+    found = tree.drill_down(spark.createDataFrame(rows, NODES), edges, "n", vector, limit=5)
+    want = ["p0", "p1", "l1", "l2", "l3"] if vector is None else ["l5", "l4", "l3", "l2", "p0"]
+    assert [(r.node_id, r.body) for r in found.collect()] == [(x, ("parent " if x[0] == "p" else "body ") + x[1:]) for x in want]
+    moved = exchanged(found.drop("body"))
+    plan = found.drop("body")._jdf.queryExecution().optimizedPlan().toString()
+    assert moved and not [x for x in moved if "body#" in x or "embedding#" in x] and "max_by" in plan and "body#" not in plan.split("max_by", 1)[1].split("\n")[0]
+
+
 class Answers:
     def __init__(self, answer):
         self.answer = answer
